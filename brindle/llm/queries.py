@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from brindle.llm.bpe import op3_bpe
+from brindle.llm.secrets import op2_secrets
 
-QUERIES = {"op3_bpe": op3_bpe}
+QUERIES = {"op2_secrets": op2_secrets, "op3_bpe": op3_bpe}
 
 ORACLE_SQL: dict[str, str] = {}
