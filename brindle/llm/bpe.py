@@ -8,7 +8,7 @@ through the finished automaton: the token sequence that running the merges in or
 table would have 50k x 50k cells; a cell is derived from the gadgets when a text first needs it, and
 kept, so that encoding is a walk over table cells and no merge is ever replayed.
 
-Pre-split words are cached per Python worker; the cache is emptied when full, which changes nothing
+Pre-split words are cached per Python worker in two generations of bounded size, which changes nothing
 but time. Null texts are encoded as empty ones (no ids); ids are exact for texts of any length.
 """
 
@@ -30,7 +30,7 @@ from brindle.llm.common import table
 
 DEFAULT_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Words kept per Python worker, and the length beyond which a word is not kept.
-CACHE_WORDS, CACHE_LENGTH = 250_000, 48
+CACHE_WORDS, CACHE_LENGTH = 200_000, 48
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -69,6 +69,8 @@ class TokenAutomaton:
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.split_words = regex.compile(public_tokenizers.PATTERN).findall
         self.words: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.tail: dict[bytes, int] = {}
 
     def _gadget(self, m: int, u: int, v: int, joined: int) -> None:
         if self.parts[joined] is not None:
@@ -99,32 +101,55 @@ class TokenAutomaton:
 
     def walk(self, word: bytes) -> list[int]:
         """The arcs of the one path that spells word."""
-        token_of, merge, first = self.token_of, self.merge, self._first
-        last = [0] * (len(word) + 1)
-        for end in range(1, len(word) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = token_of.get(word[start:end])
-                if token is not None and (not start or (last[start] << 32 | token) not in merge and first(last[start], token)):
-                    last[end] = token
-                    break
+        path = []
+        while word:
+            arc = self._last(word)
+            path.append(arc)
+            word = word[: -len(self.label[arc])]
+        return path[::-1]
+
+    def _last(self, prefix: bytes) -> int:
+        """The last arc of the path that spells prefix: a transition table by prefix, filled on demand.
+
+        A prefix of a path is the path of its own string, so that the arc is the one token at the end of
+        prefix that may follow the last arc of what is before it. An explicit stack keeps long words off
+        Python's own.
+        """
+        known, token_of, merge, first, longest = self.tail, self.token_of, self.merge, self._first, self.longest
+        stack: list[tuple[bytes, int]] = [(prefix, max(0, len(prefix) - longest))]
+        while stack:
+            text, start = stack.pop()
+            if text in known:
+                continue
+            for at in range(start, len(text)):
+                token = token_of.get(text[at:])
+                if token is None:
+                    continue
+                if at:
+                    before = known.get(text[:at])
+                    if before is None:
+                        stack += [(text, at), (text[:at], max(0, at - longest))]
+                        break
+                    if (before << 32 | token) in merge or not first(before, token):
+                        continue
+                known[text] = token
+                break
             else:
                 raise ValueError("no path: the vocabulary lacks a byte")
-        path, end = [], len(word)
-        while end:
-            path.append(last[end])
-            end -= len(self.label[last[end]])
-        return path[::-1]
+        return known[prefix]
 
     def _word(self, word: str) -> tuple[int, ...]:
-        found = self.words.get(word)
+        found = self.older.get(word)
         if found is None:
             found = tuple(self.walk(word.encode()))
-            if len(word) <= CACHE_LENGTH:
-                if len(self.words) >= CACHE_WORDS:
-                    self.words.clear()
-                if len(self.cell) >= 8 * CACHE_WORDS:
-                    self.cell.clear()
-                self.words[word] = found
+            if len(word) > CACHE_LENGTH or len(self.tail) >= CACHE_WORDS:
+                self.tail.clear()
+            if len(self.cell) >= 4 * CACHE_WORDS:
+                self.cell.clear()
+        if len(word) <= CACHE_LENGTH:
+            if len(self.words) >= CACHE_WORDS:
+                self.older, self.words = self.words, {}
+            self.words[word] = found
         return found
 
     def _plain(self, text: str) -> list[int]:
