@@ -70,11 +70,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return links.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(links.select(F.col("lo"), F.col("lo")).distinct())
 
 
-#: Up to so many rows a table of keys and a small value is broadcast; a larger one is joined by shuffling.
-BROADCAST_ROWS = 2_000_000
+#: Up to so many rows a table of keys and small values is broadcast; a larger one is joined by shuffling.
+BROADCAST_ROWS = 1_000_000
 
 
-def join_labels(df: DataFrame, labels: DataFrame) -> DataFrame:
-    """df joined with labels(doc_id, ...), broadcast if a count of its rows allows."""
-    small = labels.count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(labels) if small else labels.hint("shuffle_merge"), "doc_id")
+def small(df: DataFrame) -> DataFrame:
+    """df, marked to be broadcast if a count of its rows allows, and else to be joined by a sort and merge."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("shuffle_merge")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import checkpointed, connected_components, table
+from brindle.llm.common import checkpointed, connected_components, small, table
 
 SEED = 42
 #: Shards up to this size are compared as they are: the leaves of the vantage-point trees.
@@ -230,7 +230,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     """
     groups = near_groups(docs)
     gone = groups.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

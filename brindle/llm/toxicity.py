@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import join_labels, table
+from brindle.llm.common import small, table
 
 #: Bits of a word's and of a context's hash, and slots (a prime) of word pairs in the model.
 WORD_BITS, CONTEXT_BITS, PAIR_SLOTS = 18, 22, 1_048_573
@@ -165,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     reach the driver summed by slot: at most 2^WORD_BITS + PAIR_SLOTS rows, however large the corpus.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic")).where(_fold(F.col("doc_id")) != 0)
-    joined = join_labels(docs.select("doc_id", "text"), known)
+    joined = docs.select("doc_id", "text").join(small(known), "doc_id")
     count = _counted(joined.where(_fold(F.col("doc_id")) != 4))
     side, word = F.shiftright("key", WORD_BITS + CONTEXT_BITS), F.shiftright("key", CONTEXT_BITS).bitwiseAND((1 << WORD_BITS) - 1)
     pair = F.col("key").bitwiseAND((1 << (WORD_BITS + CONTEXT_BITS)) - 1)
@@ -185,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     held = known.where(_fold(F.col("doc_id")) == 4)
     share = min(1.0, CALIBRATION_ROWS / max(1, held.count()))
     held = held.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    seen = measured(join_labels(docs.select("doc_id", "text"), held), model, "toxic int").select("mean", "window", "toxic").toArrow().to_pandas()
+    seen = measured(docs.select("doc_id", "text").join(small(held), "doc_id"), model, "toxic int").select("mean", "window", "toxic").toArrow().to_pandas()
     if seen.toxic.nunique() == 2:
         model.curve = _logistic(seen[["mean", "window"]].to_numpy(), seen.toxic.to_numpy(float))
     else:
