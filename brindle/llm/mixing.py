@@ -111,19 +111,20 @@ def _schedule(sources: DataFrame) -> DataFrame:
     before = Window.partitionBy("id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     offset = slots.groupBy("id", "stretch").agg(F.count("*").alias("c")).withColumn("offset", F.coalesce(F.sum("c").over(before), F.lit(0))).drop("c")
     inside = Window.partitionBy("id", "stretch").orderBy("index")
-    ranked = slots.withColumn("local", F.row_number().over(inside) - 1).join(offset, ["id", "stretch"]).withColumn("rank", F.col("offset") + F.col("local"))
+    ranked = slots.withColumn("local", F.row_number().over(inside) - 1).join(offset.hint("shuffle_merge"), ["id", "stretch"]).withColumn("rank", F.col("offset") + F.col("local"))
     return ranked.select(F.col("index").alias("slot"), "id", "rank", (F.col("rank") % F.col("blocks")).alias("block"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(doc_id, source, size, place, source_size, target, taken) of docs(doc_id, text, source), one row per row."""
     rows, sources, schedule = plan(docs, weights, share, repeats, block_tokens)
-    turns = schedule.groupBy("id", "block").agg(F.count("*").alias("turns"))
+    # The planner takes exploded slots for as few as their sources are, and would broadcast them.
+    turns = schedule.groupBy("id", "block").agg(F.count("*").alias("turns")).hint("shuffle_merge")
     cut = rows.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block_tokens), F.floor((F.col("start") + F.col("size") - 1) / block_tokens))))
     within = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_tokens) - F.greatest("start", F.col("block") * block_tokens)
     taken = cut.join(turns, ["id", "block"]).groupBy("id", "start").agg(F.sum(within * F.col("turns")).alias("words"))
     known = small(sources.select("id", "source_size", "target"))
-    full = rows.where("size > 0").join(taken, ["id", "start"], "left").unionByName(rows.where("size = 0").withColumn("words", F.lit(0).cast("long")))
+    full = rows.where("size > 0").join(taken.hint("shuffle_merge"), ["id", "start"], "left").unionByName(rows.where("size = 0").withColumn("words", F.lit(0).cast("long")))
     return full.join(known, "id").select("doc_id", "source", "size", "place", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"))
 
 
