@@ -171,7 +171,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     pair = F.col("key").bitwiseAND((1 << (WORD_BITS + CONTEXT_BITS)) - 1)
     slot = pair % PAIR_SLOTS
     n = F.col("n")
-    by_word = count.groupBy(word.alias("at")).agg(F.sum(F.when(side == 0, 1).otherwise(0)).alias("o"), F.sum(F.when(side == 1, 1).otherwise(0)).alias("t"), F.lit(-1).cast("long").alias("word"))
+    # Both read n, so that one exchange of the counts serves both.
+    met = F.when(n > 0, 1).otherwise(0)
+    by_word = count.groupBy(word.alias("at")).agg(F.sum(F.when(side == 0, met).otherwise(0)).alias("o"), F.sum(F.when(side == 1, met).otherwise(0)).alias("t"), F.lit(-1).cast("long").alias("word"))
     by_pair = count.groupBy(slot.alias("at")).agg(F.sum(F.when(side == 0, n).otherwise(0)).alias("o"), F.sum(F.when(side == 1, n).otherwise(0)).alias("t"), F.min(word).alias("word"))
     # A pair below the least discount in total cannot speak for a class.
     rows = by_word.union(by_pair.where(F.col("o") + F.col("t") > PAIR_DISCOUNT[0])).toArrow().to_pandas()
