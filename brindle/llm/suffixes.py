@@ -216,8 +216,8 @@ class _Units:
         for texts_at, first, n, anchor in windows(texts):
             met, hot = shared.find(anchor)
             for i, at, k, a, h in zip(texts_at[met].tolist(), first[met].tolist(), n[met].tolist(), anchor[met].tolist(), hot[met].tolist(), strict=True):
-                for at, k in ((at + j, 1) for j in range(k)) if h else ((at, k),):
-                    piece = texts[i][at : at + k + LENGTH - 1]
+                for begin, width in [(at + j, 1) for j in range(k)] if h else [(at, k)]:
+                    piece = texts[i][begin : begin + width + LENGTH - 1]
                     u = known.get(piece)
                     if u is None:
                         u = known[piece] = len(self.content)
@@ -225,8 +225,8 @@ class _Units:
                         self.owner.append(i)
                         self.key.append(xxhash.xxh64_intdigest(piece) if h else a)
                     number.append(i)
-                    start.append(at)
-                    count.append(k)
+                    start.append(begin)
+                    count.append(width)
                     unit.append(u)
         self.number, self.start, self.count, self.unit = (np.array(x, np.int64) for x in (number, start, count, unit))
 
@@ -285,7 +285,7 @@ def _told_table(g, bucket, b0, b1, b2) -> pa.Table:
     return pa.table([pa.array(g, pa.int64()), pa.array(bucket, pa.int64()), *(pa.array(x, pa.binary()) for x in (b0, b1, b2))], ["g", "bucket", "b0", "b1", "b2"])
 
 
-def _share(data: pa.Table) -> pa.Table:
+def _share(data: pa.Table, hot_docs: int) -> pa.Table:
     """Of one bucket: to each group of documents, those of its anchors that at least two documents hold."""
     joined = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in data.column(name).to_pylist()])
     value = joined("values", np.uint32)
@@ -295,7 +295,7 @@ def _share(data: pa.Table) -> pa.Table:
     a, b = _cuts(value)
     held = np.repeat(b - a, b - a)
     keep = (held > 1) & np.concatenate([[True], (value[1:] != value[:-1]) | (group[1:] != group[:-1])])
-    value, group, hot = value[keep], group[keep], held[keep] > HOT
+    value, group, hot = value[keep], group[keep], held[keep] > hot_docs
     order = np.argsort(group, kind="stable")
     value, group, hot = value[order], group[order], hot[order].astype(np.uint8)
     cuts = list(zip(*_cuts(group), strict=True))
@@ -325,7 +325,7 @@ def _send_units(bits: int, buckets: int):
     return send
 
 
-def _match(data: pa.Table) -> pa.Table:
+def _match(data: pa.Table, array_bytes: int) -> pa.Table:
     """Of one bucket of units: which windows of which units start in a smaller document."""
     group, unit, doc, key, content = [], [], [], [], []
     for row in data.to_pylist():
@@ -343,9 +343,9 @@ def _match(data: pa.Table) -> pa.Table:
     same = np.array([number.setdefault(content[i], len(number)) for i in order.tolist()], np.int64)
     first = order[np.unique(same, return_index=True)[1]]  # rows of the distinct units, in the order of key
     size = np.array([len(content[i]) for i in first.tolist()], np.int64)
-    # Cut after about ARRAY_BYTES, where the key changes.
+    # Cut after about array_bytes, where the key changes.
     change, total = np.concatenate([[True], key[first][1:] != key[first][:-1]]), np.cumsum(size) - size
-    part = total[np.maximum.accumulate(np.where(change, np.arange(len(first)), 0))] // ARRAY_BYTES
+    part = total[np.maximum.accumulate(np.where(change, np.arange(len(first)), 0))] // array_bytes
     least = []
     for a, b in zip(*_cuts(part), strict=True):
         text = b"".join([content[i] for i in first[a:b].tolist()])
@@ -427,19 +427,19 @@ def _remove(bits: int):
     return remove
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, hot: int = HOT, group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES, array_bytes: int = ARRAY_BYTES) -> DataFrame:
     """(doc_id, n_bytes, spans, kept) of docs(doc_id, text): removed byte spans, and the bytes that are left."""
     rows = docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    groups = max(1, math.ceil(total / GROUP_BYTES))
-    bits = min(31, max(0, (total // BUCKET_BYTES).bit_length()))
-    buckets = max(1, math.ceil(total / BUCKET_BYTES))
+    groups = max(1, math.ceil(total / group_bytes))
+    bits = min(31, max(0, (total // bucket_bytes).bit_length()))
+    buckets = max(1, math.ceil(total / bucket_bytes))
     # Rows without an id are spread by their text.
     grouped = rows.select(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.xxhash64("text"))), F.lit(groups)).alias("g"), "doc_id", "text")
-    told = checkpointed(_tell_anchors(grouped, bits).groupBy("bucket").applyInArrow(_share, _TOLD))
+    told = checkpointed(_tell_anchors(grouped, bits).groupBy("bucket").applyInArrow(lambda data: _share(data, hot), _TOLD))
     by_group = grouped.groupBy("g")
     sent = by_group.cogroup(told.groupBy("g")).applyInArrow(_send_units(bits, buckets), _UNITS)
-    answers = sent.groupBy("bucket").applyInArrow(_match, _TOLD)
+    answers = sent.groupBy("bucket").applyInArrow(lambda data: _match(data, array_bytes), _TOLD)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return by_group.cogroup(told.union(answers).groupBy("g")).applyInArrow(_remove(bits), f"doc_id {id_type}, {_RESULT}")
 
