@@ -7,10 +7,11 @@ from brindle.llm.bpe import op3_bpe
 from brindle.llm.fingerprints import op6_fingerprints
 from brindle.llm.mixing import op10_mixing
 from brindle.llm.secrets import op2_secrets
+from brindle.llm.sharding import op4_sharding
 from brindle.llm.simhash import op9_simhash
 from brindle.llm.suffixes import op1_suffixes
 from brindle.llm.toxicity import op8_toxicity
 
-QUERIES = {"op1_suffixes": op1_suffixes, "op2_secrets": op2_secrets, "op3_bpe": op3_bpe, "op6_fingerprints": op6_fingerprints, "op7_ann": op7_ann, "op8_toxicity": op8_toxicity, "op9_simhash": op9_simhash, "op10_mixing": op10_mixing}
+QUERIES = {"op1_suffixes": op1_suffixes, "op2_secrets": op2_secrets, "op3_bpe": op3_bpe, "op4_sharding": op4_sharding, "op6_fingerprints": op6_fingerprints, "op7_ann": op7_ann, "op8_toxicity": op8_toxicity, "op9_simhash": op9_simhash, "op10_mixing": op10_mixing}
 
 ORACLE_SQL: dict[str, str] = {}
