@@ -28,7 +28,6 @@ KEY_BITS, CHECK_BITS = 47, 16
 #: Cells per table of the sketch that is the fingerprint, and of those tried on failure.
 BASE, RETRIES = 8, (32, 128)
 ROUNDS = 24
-_CELL = "struct<n:int,x:bigint>"
 
 
 def digests(text: Column) -> Column:
@@ -51,45 +50,58 @@ def _at(digest: Column, which: int, p: Column) -> Column:
     return F.pmod(F.shiftright(digest.bitwiseAND((1 << KEY_BITS) - 1), 15 * which), p).cast("int") + (p * which).cast("int")
 
 
-def _cell(n: Column, x: Column) -> Column:
-    return F.struct(n.cast("int").alias("n"), x.cast("long").alias("x"))
+def _let(value: Column, body) -> Column:
+    """body(value), with value evaluated once: what a lambda mentions is else evaluated for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def sketch(keys: Column, p: Column) -> Column:
-    """The 3 p cells of an array of digests."""
+def _cell(c: Column, n: Column, x: Column) -> Column:
+    return F.struct(c.cast("int").alias("c"), n.cast("int").alias("n"), x.cast("long").alias("x"))
+
+
+def _added(cells: Column) -> Column:
+    """Cells (number c, count n, exclusive or x) of one number added up; those that come to nothing go."""
+
+    def runs(ordered: Column) -> Column:
+        head = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (F.get(ordered, i)["c"] != F.get(ordered, i - 1)["c"]))
+        return _let(head, lambda h: F.filter(F.transform(h, lambda at, j: total(ordered, at, F.coalesce(F.get(h, j + 1), F.size(ordered)))), lambda e: (e["n"] != 0) | (e["x"] != 0)))
 
-    def cells(which: int) -> Column:
-        def cell(i: Column) -> Column:
-            own = F.filter(keys, lambda d: _at(d, which, p) == i)
-            return _cell(F.size(own), F.aggregate(own, F.lit(0).cast("long"), lambda a, d: a.bitwiseXOR(d)))
+    def total(ordered: Column, at: Column, end: Column) -> Column:
+        return F.aggregate(F.slice(ordered, at + 2, end - at - 1), F.get(ordered, at), lambda a, e: _cell(a["c"], a["n"] + e["n"], a["x"].bitwiseXOR(e["x"])))
 
-        return F.transform(F.sequence((p * which).cast("int"), (p * (which + 1) - 1).cast("int")), cell)
+    return _let(F.array_sort(cells), lambda ordered: F.when(F.size(ordered) == 0, ordered).otherwise(runs(ordered)))
 
-    return F.concat(*(cells(k) for k in range(3)))
+
+def _dealt(digests_: Column, p: Column, sign) -> Column:
+    """Three cells for each of digests_ (counts and digests), one in each table."""
+    return F.flatten(F.transform(digests_, lambda d: F.array(*(_cell(_at(sign(d)[1], k, p), sign(d)[0], sign(d)[1]) for k in range(3)))))
+
+
+def sketch(keys: Column, p: Column) -> Column:
+    """The cells in use, of 3 p, of an array of digests; in order."""
+    return _added(_dealt(keys, p, lambda d: (F.lit(1), d)))
 
 
 def subtract(one: Column, other: Column) -> Column:
-    return F.zip_with(one, other, lambda a, b: _cell(a["n"] - b["n"], a["x"].bitwiseXOR(b["x"])))
+    return _added(F.concat(one, F.transform(other, lambda e: _cell(e["c"], -e["n"], e["x"]))))
 
 
 def peel(cells: Column, p: Column) -> Column:
     """How many digests differ, from a subtracted sketch; null where peeling stops short."""
 
-    def lies_at(digest: Column, i: Column) -> Column:
-        return (_at(digest, 0, p) == i) | (_at(digest, 1, p) == i) | (_at(digest, 2, p) == i)
-
-    def pure(c: Column, i: Column) -> Column:
-        key = c["x"].bitwiseAND((1 << KEY_BITS) - 1)
-        return (F.abs(c["n"]) == 1) & (F.shiftright(c["x"], KEY_BITS) == _checksum(key)) & lies_at(c["x"], i)
+    def pure(e: Column) -> Column:
+        key = e["x"].bitwiseAND((1 << KEY_BITS) - 1)
+        own = F.floor(e["c"] / p).cast("int")
+        place = F.when(own == 0, _at(e["x"], 0, p)).when(own == 1, _at(e["x"], 1, p)).otherwise(_at(e["x"], 2, p))
+        return (F.abs(e["n"]) == 1) & (F.shiftright(e["x"], KEY_BITS) == _checksum(key)) & (place == e["c"])
 
     def step(state: Column, _: Column) -> Column:
-        found = state["pure"]
-        rest = F.transform(state["cells"], lambda c, i: F.aggregate(F.filter(found, lambda q: lies_at(q["x"], i)), c, lambda a, q: _cell(a["n"] - q["n"], a["x"].bitwiseXOR(q["x"]))))
-        return F.when(F.size(found) == 0, state).otherwise(F.struct(rest.alias("cells"), F.array_distinct(F.filter(rest, pure)).alias("pure"), (state["out"] + F.size(found)).alias("out")))
+        found = F.array_distinct(F.transform(F.filter(state["cells"], pure), lambda e: F.struct((-e["n"]).alias("n"), e["x"].alias("x"))))
+        after = _let(found, lambda f: F.when(F.size(f) == 0, F.struct(state["cells"].alias("cells"), state["out"].alias("out"), F.lit(True).alias("stuck"))).otherwise(F.struct(_added(F.concat(state["cells"], _dealt(f, p, lambda q: (q["n"], q["x"])))).alias("cells"), (state["out"] + F.size(f)).alias("out"), F.lit(False).alias("stuck"))))
+        return F.when(state["stuck"] | (F.size(state["cells"]) == 0), state).otherwise(after)
 
-    start = F.struct(cells.alias("cells"), F.array_distinct(F.filter(cells, pure)).alias("pure"), F.lit(0).alias("out"))
-    empty = lambda c: (c["n"] == 0) & (c["x"] == 0)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.when(F.forall(s["cells"], empty), s["out"]))
+    start = F.struct(cells.alias("cells"), F.lit(0).alias("out"), F.lit(False).alias("stuck"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.when(F.size(s["cells"]) == 0, s["out"]))
 
 
 def likeness(one: Column, other: Column, one_sketch: Column, other_sketch: Column) -> Column:
@@ -97,19 +109,23 @@ def likeness(one: Column, other: Column, one_sketch: Column, other_sketch: Colum
     total = F.size(one) + F.size(other)
     apart = F.abs(F.size(one) - F.size(other))
 
+    def sound(found: Column) -> Column:
+        # A sum of several digests that passes for one leads astray; what the counts rule out is a failure.
+        return _let(found, lambda n: F.when((n >= apart) & (n <= total) & ((total - n) % 2 == 0), n))
+
     def tried(p: Column) -> Column:
-        return peel(subtract(sketch(one, p), sketch(other, p)), p)
+        return sound(peel(subtract(sketch(one, p), sketch(other, p)), p))
 
     base = F.lit(BASE)
     sure = F.greatest(F.lit(RETRIES[-1] * 2), total)
     # Fewer cells than the counts differ by cannot be emptied, and are not tried.
-    attempts = [F.when(apart <= 3 * BASE, peel(subtract(one_sketch, other_sketch), base)), *(F.when(apart <= 3 * p, tried(F.lit(p))) for p in RETRIES), tried(sure), tried(2 * sure + 1)]
+    attempts = [F.when(apart <= 3 * BASE, sound(peel(subtract(one_sketch, other_sketch), base))), *(F.when(apart <= 3 * p, tried(F.lit(p))) for p in RETRIES), tried(sure), tried(2 * sure + 1)]
     return F.when(total == 0, 1.0).otherwise(F.lit(1.0) - F.coalesce(*attempts, total).cast("double") / total)
 
 
 def rendered(keys: Column, cells: Column) -> Column:
-    """The fingerprint as text: the number of digests, then count and digest sum of each cell."""
-    return F.concat_ws(";", F.size(keys).cast("string"), F.array_join(F.transform(cells, lambda c: F.concat_ws(":", c["n"].cast("string"), F.lower(F.hex(c["x"])))), ","))
+    """The fingerprint as text: the number of digests, then number, count and digest sum of each cell in use."""
+    return F.concat_ws(";", F.size(keys).cast("string"), F.array_join(F.transform(cells, lambda e: F.concat_ws(":", e["c"].cast("string"), e["n"].cast("string"), F.lower(F.hex(e["x"])))), ","))
 
 
 def fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
@@ -171,13 +187,15 @@ def versions(docs: DataFrame) -> DataFrame:
 def compare(docs: DataFrame) -> DataFrame:
     """(doc_id, text, edited, digests, fingerprint, edited_digests, edited_fingerprint, near_edited, near_next)."""
     base = F.lit(BASE)
-    d = versions(docs)
-    d = d.withColumns({"digests": digests(F.col("text")), "edited_digests": digests(F.col("edited"))})
-    d = d.withColumns({"s": sketch(F.col("digests"), base), "e": sketch(F.col("edited_digests"), base), "x": sketch(F.col("next_digests"), base)})
-    return d.select(
-        "doc_id", "text", "edited", "digests", rendered(F.col("digests"), F.col("s")).alias("fingerprint"), "edited_digests", rendered(F.col("edited_digests"), F.col("e")).alias("edited_fingerprint"),
-        likeness(F.col("digests"), F.col("edited_digests"), F.col("s"), F.col("e")).alias("near_edited"), likeness(F.col("digests"), F.col("next_digests"), F.col("s"), F.col("x")).alias("near_next"),
-    )
+
+    def told(own: Column, edited: Column, after: Column) -> Column:
+        return _let(sketch(own, base), lambda s: _let(sketch(edited, base), lambda e: F.struct(
+            own.alias("digests"), rendered(own, s).alias("fingerprint"), edited.alias("edited_digests"), rendered(edited, e).alias("edited_fingerprint"),
+            likeness(own, edited, s, e).alias("near_edited"), likeness(own, after, s, sketch(after, base)).alias("near_next"),
+        )))
+
+    found = versions(docs).withColumn("told", _let(digests(F.col("text")), lambda own: _let(digests(F.col("edited")), lambda edited: told(own, edited, F.col("next_digests")))))
+    return found.select("doc_id", "text", "edited", "told.*")
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
