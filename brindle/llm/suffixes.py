@@ -44,7 +44,7 @@ LENGTH, K = 50, 16
 #: Windows of a unit; documents that may hold an anchor before it is dealt by window.
 UNIT, HOT = 256, 2000
 #: Bytes of text of a group of documents and of a bucket, and bytes that one suffix array is built of.
-GROUP_BYTES, BUCKET_BYTES, ARRAY_BYTES = 8 << 20, 4 << 20, 1 << 20
+GROUP_BYTES, BUCKET_BYTES, ARRAY_BYTES = 8 << 20, 4 << 20, 1 << 18
 _ONE, _TWO, _THREE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _LAST = np.iinfo(np.int64).max
 
@@ -53,7 +53,10 @@ _LAST = np.iinfo(np.int64).max
 
 
 def _names(text: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Dense names, from 1, of the triples of text at the positions at; equal for equal triples."""
+    """Names, from 1 and below 2^21, of the triples of text at the positions at, in the order of the triples."""
+    most = int(text.max(initial=0))
+    if most < 127:  # three small characters are a name of their own
+        return ((text[at] << 14) | (text[at + 1] << 7) | text[at + 2]) + 1
     key = (text[at] << 42) | (text[at + 1] << 21) | text[at + 2]
     order = np.argsort(key)
     key = key[order]
@@ -69,36 +72,44 @@ def _smaller(keys: np.ndarray, among: np.ndarray, order: np.ndarray) -> np.ndarr
     return out
 
 
-def ranks(text: np.ndarray, depth: int) -> np.ndarray:
-    """Ranks, from 1, of the suffixes of text by at least their first depth characters.
+def ranks(text: np.ndarray, depth: int, wanted: np.ndarray) -> np.ndarray:
+    """For the positions wanted (a mask), ranks, from 1, of the suffixes of text by at least depth characters.
 
     text: int64 below 2^21, 0 only as a mark that is smaller than all else. Suffixes that agree in depth
-    characters have ranks side by side, with no other between.
+    characters have ranks side by side, with no other between. Only suffixes that are wanted, or that the
+    order of those rests on, are sorted and merged; positions that are not wanted have rank 0.
     """
-    n = len(text)
+    n, out = len(text), np.zeros(len(text), np.int64)
     s = np.concatenate([text, np.zeros(3, np.int64)])
     if depth <= 3:
-        return _names(s, np.arange(n)) if n else np.zeros(0, np.int64)
-    zero, one, two = np.arange(0, n, 3), np.arange(1, n, 3), np.arange(2, n, 3)
-    sample = np.concatenate([one, two])
-    named = _names(s, sample) if len(sample) else np.zeros(0, np.int64)
-    if named.max(initial=0) < len(sample):
-        deeper = ranks(np.concatenate([named[: len(one)], [0], named[len(one) :]]), -(-depth // 3))
-        named = np.concatenate([deeper[: len(one)], deeper[len(one) + 1 :]])
+        at = np.flatnonzero(wanted)
+        out[at] = _names(s, at) if len(at) else 0
+        return out
+    one, two = np.arange(1, n, 3), np.arange(2, n, 3)
+    named = _names(s, np.concatenate([one, two])) if n > 1 else np.zeros(0, np.int64)
+    # A suffix rests on the sampled ones at itself or at the next two places.
+    need = wanted.copy()
+    need[1:] |= wanted[:-1]
+    need[2:] |= wanted[:-2]
     rank = np.zeros(n + 3, np.int64)
-    rank[sample] = named
+    if n > 1:
+        string = np.concatenate([named[: len(one)], [0], named[len(one) :]])
+        deeper = ranks(string, -(-depth // 3), np.concatenate([need[one], [False], need[two]]))
+        rank[one], rank[two] = deeper[: len(one)], deeper[len(one) + 1 :]
+    at = np.flatnonzero(wanted)
+    zero, one, two = (at[at % 3 == i] for i in range(3))
     # Suffixes at 0 mod 3 meet those at 1 by one character and a rank, and those at 2 by two and a rank.
-    by_one = lambda at: (s[at] << 32) | rank[at + 1]
-    by_two = lambda at: (s[at] << 42) | (s[at + 1] << 21) | rank[at + 2]
+    by_one = lambda x: (s[x] << 32) | rank[x + 1]
+    by_two = lambda x: (s[x] << 42) | (s[x + 1] << 21) | rank[x + 2]
     z1, z2, k1, k2 = by_one(zero), by_two(zero), by_one(one), by_two(two)
-    oz1, oz2, o1, o2, os = (np.argsort(x) for x in (z1, z2, k1, k2, named))
+    sample = rank[np.concatenate([one, two])]
+    oz1, oz2, o1, o2, os = (np.argsort(x) for x in (z1, z2, k1, k2, sample))
     z1s, z2s = z1[oz1], z2[oz2]
-    out = np.empty(n, np.int64)
-    out[zero] = _smaller(z1, z1s, oz1) + _smaller(z1, k1[o1], oz1) + _smaller(z2, k2[o2], oz2)
-    below = _smaller(named, named[os], os)
-    out[one] = below[: len(one)] + _smaller(k1, z1s, o1)
-    out[two] = below[len(one) :] + _smaller(k2, z2s, o2)
-    return out + 1
+    out[zero] = _smaller(z1, z1s, oz1) + _smaller(z1, k1[o1], oz1) + _smaller(z2, k2[o2], oz2) + 1
+    below = _smaller(sample, sample[os], os)
+    out[one] = below[: len(one)] + _smaller(k1, z1s, o1) + 1
+    out[two] = below[len(one) :] + _smaller(k2, z2s, o2) + 1
+    return out
 
 
 def _words(buffer: bytes, n: int) -> np.ndarray:
@@ -108,7 +119,13 @@ def _words(buffer: bytes, n: int) -> np.ndarray:
 
 def least_doc(text: bytes, starts: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """For each window of LENGTH bytes at starts, the smallest of docs among the windows equal to it."""
-    rank = ranks(np.frombuffer(text, np.uint8).astype(np.int64) + 1, LENGTH)
+    letters = np.frombuffer(text, np.uint8)
+    code = np.zeros(256, np.int64)
+    used = np.flatnonzero(np.bincount(letters, minlength=256))
+    code[used] = np.arange(1, len(used) + 1)  # few letters make short names
+    wanted = np.zeros(len(text), bool)
+    wanted[starts] = True
+    rank = ranks(code[letters], LENGTH, wanted)
     order = np.argsort(rank[starts])
     at = starts[order]
     word = _words(text + bytes(8), len(text))
@@ -146,8 +163,8 @@ def _anchors(buffer: bytes) -> np.ndarray:
 
 
 def _pieces(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
-    """Texts, long ones in overlapping parts, a few megabytes at a time: numbers, offsets, bytes."""
-    part, full = 1 << 20, 2 << 20
+    """Texts, long ones in overlapping parts, some at a time (a buffer that caches hold): numbers, offsets, bytes."""
+    part, full = 1 << 20, 1 << 18
     number, offset, pieces, size = [], [], [], 0
     for i, text in enumerate(texts):
         for at in range(0, max(1, len(text) - LENGTH + 1), part):

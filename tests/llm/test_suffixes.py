@@ -77,7 +77,10 @@ def test_ranks_sort_suffixes_to_their_depth():
     r = np.random.default_rng(0)
     for n in (0, 1, 2, 3, 4, 5, 50, 700):
         for letters in (1, 2, 4, 200):
-            text = r.integers(1, letters + 1, n)
-            order = np.argsort(ranks(text.astype(np.int64), 50), kind="stable")
-            heads = [bytes(text[i : i + 50].astype(np.uint8)) for i in order]
-            assert heads == sorted(heads)
+            for share in (1, 0.3):
+                text, wanted = r.integers(1, letters + 1, n), r.random(n) < share
+                rank = ranks(text.astype(np.int64), 50, wanted)
+                assert (rank[~wanted] == 0).all()
+                order = np.flatnonzero(wanted)[np.argsort(rank[wanted], kind="stable")]
+                heads = [bytes(text[i : i + 50].astype(np.uint8)) for i in order]
+                assert heads == sorted(heads)
