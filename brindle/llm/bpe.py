@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import table
+from brindle.llm.common import small_batches, table
 
 DEFAULT_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Words kept per Python worker, and the length beyond which a word is not kept.
@@ -144,7 +144,7 @@ class TokenAutomaton:
             found = tuple(self.walk(word.encode()))
             if len(word) > CACHE_LENGTH or len(self.tail) >= CACHE_WORDS:
                 self.tail.clear()
-            if len(self.cell) >= 4 * CACHE_WORDS:
+            if len(self.cell) >= 2 * CACHE_WORDS:
                 self.cell.clear()
         if len(word) <= CACHE_LENGTH:
             if len(self.words) >= CACHE_WORDS:
@@ -194,7 +194,7 @@ def _with(df: DataFrame, fields: list[T.StructField], work) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 yield work(batch.slice(at, 512))
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def encode(df: DataFrame, text: str = "text", ids: str = "ids", tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
@@ -239,7 +239,7 @@ def round_trip(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame
                 ids = [m.encode(t.as_py()) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(m.decode, ids), pa.string())], schema.names)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,6 +78,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return links.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(links.select(F.col("lo"), F.col("lo")).distinct())
 
 
+#: Rows of an Arrow batch on its way to Python: texts may be long, and a batch is in memory on both sides.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with its session set to hand Python at most BATCH_ROWS rows at a time."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 #: Up to so many rows a table of keys and small values is broadcast; a larger one is joined by shuffling.
 BROADCAST_ROWS = 1_000_000
 

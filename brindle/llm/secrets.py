@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import table
+from brindle.llm.common import small_batches, table
 
 #: Kinds in the order in which spans with one start are listed; the first three are the base kinds.
 KINDS = ("assign", "access", "hex", "github", "npm")
@@ -121,7 +121,7 @@ def scan(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
                 found = pa.array([[dict(zip(names, s, strict=True)) for s in find_spans(t.as_py())] for t in part.column(text)], _ARROW_SPANS)
                 yield pa.RecordBatch.from_arrays([*part.columns, found], [*part.schema.names, spans])
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
@@ -135,7 +135,7 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
                 fresh = [t if t is None else redact_text(t, find_spans(t)) for t in (x.as_py() for x in part.column(i))]
                 yield pa.RecordBatch.from_arrays([*part.columns[:i], pa.array(fresh, part.schema.field(i).type), *part.columns[i + 1 :]], part.schema.names)
 
-    return df.mapInArrow(run, df.schema)
+    return small_batches(df).mapInArrow(run, df.schema)
 
 
 def _of_kinds(spans: Column, *kinds: str) -> Column:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import checkpointed, connected_components, small, table
+from brindle.llm.common import checkpointed, connected_components, small, small_batches, table
 
 SEED = 42
 #: Shards up to this size are compared as they are: the leaves of the vantage-point trees.
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seeds: tuple[int, ...] = (SEED
             found = np.array([fingerprint(t.as_py(), width, seeds) for t in batch.column("text")], np.int64).reshape(-1, len(seeds))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(found[:, i]) for i in range(len(seeds)))], ["doc_id", *names])
 
-    return docs.select("doc_id", "text").mapInArrow(run, ", ".join([f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", *(f"{n} long" for n in names)]))
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, ", ".join([f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", *(f"{n} long" for n in names)]))
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:

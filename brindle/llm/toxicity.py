@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import small, table
+from brindle.llm.common import small, small_batches, table
 
 #: Bits of a word's and of a context's hash, and slots (a prime) of word pairs in the model.
 WORD_BITS, CONTEXT_BITS, PAIR_SLOTS = 18, 22, 1_048_573
@@ -48,7 +48,7 @@ _ids: dict[str, int] = {}
 
 def word_hashes(text: str | None) -> np.ndarray:
     words = _words((text or "").lower())
-    if len(_ids) > 300_000:
+    if len(_ids) > 100_000:
         _ids.clear()
     out = []
     for w in words:
@@ -139,7 +139,7 @@ def _counted(labelled: DataFrame) -> DataFrame:
                 key, n = np.unique(np.concatenate(keys), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], ["key", "n"])
 
-    return labelled.select("text", "toxic").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return small_batches(labelled).select("text", "toxic").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _fold(doc_id: Column) -> Column:
@@ -209,7 +209,7 @@ def measured(df: DataFrame, model: Model, more: str = "") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *(pa.array(found[:, i]) for i in range(4)), pa.array(score)], [*keep, *names])
 
     schema = ", ".join([f"doc_id {df.schema['doc_id'].dataType.simpleString()}", *([more] if more else []), *(f"{x} double" for x in names)])
-    return df.select(*keep, "text").mapInArrow(run, schema)
+    return small_batches(df).select(*keep, "text").mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -234,7 +234,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             keep = [m.score(*m.features(t.as_py())[2:]) < 0.5 for t in batch.column("text")]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
