@@ -136,6 +136,11 @@ def p95_nearest_rank(spark: SparkSession, d: str) -> DataFrame:
     return history.nearest_rank(t(spark, d, "events"), "value", ["event_type"])
 
 
+# The shape of the published measure of the engine that this library is held against: 200 000 rows, 200 groups.
+query("SELECT k, count(*) AS n, CAST(sum(l_linenumber) AS DECIMAL(38,0)) AS s FROM (SELECT l_orderkey % 200 AS k, l_linenumber FROM lineitem) GROUP BY 1 ORDER BY k LIMIT 1000", "agg_200k_by_200")(
+    lambda spark, d: aggregate.run(t(spark, d, "lineitem").withColumn("k", F.col("l_orderkey") % 200), aggregate.parse({"group_by": ["k"], "limit": 1000, "measures": [{"fn": "count_rows", "alias": "n"}, {"fn": "sum", "column": "l_linenumber", "alias": "s", "additive": True}]})).rows
+)
+
 # -- F, B: pages, selections
 
 query("SELECT o_orderkey, o_custkey, s FROM (SELECT *, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice END AS s FROM orders) ORDER BY s DESC NULLS LAST, o_orderkey LIMIT 50 OFFSET 20", "rows_page")(
