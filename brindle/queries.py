@@ -5,17 +5,18 @@ No table of the driver holds a null or a NaN, so that queries about those make t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
-from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.functions import casts, derive, pii, wire
 from brindle.operators import aggregate, history, joins, provenance, quality, rows, select, splits, summary
-from brindle.plans import validator
+from brindle.plans import build, spec, validator
+from brindle.sources import infer, readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -425,3 +426,48 @@ def union_by_name(spark: SparkSession, d: str) -> DataFrame:
     a = t(spark, d, "customer").where("c_custkey < 50").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("n"))
     b = t(spark, d, "supplier").where("s_suppkey < 50").select(F.col("s_name").alias("s"), F.col("s_suppkey").alias("k"))
     return a.unionByName(b, allowMissingColumns=True)
+
+
+# -- A: sources and sinks, by round trips
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder where the cluster keeps what all its machines share."""
+    return f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT event_id, user_id, event_type, value, CAST(nullif(event_id % 3, 0) AS BIGINT) AS k, event_id - 1 + 1 - (SELECT min(event_id) FROM events) AS _row_seq FROM events")
+def infer_roundtrip_json(spark: SparkSession, d: str) -> DataFrame:
+    e = t(spark, d, "events").select("event_id", "user_id", "event_type", "value", F.nullif(F.col("event_id") % 3, F.lit(0)).alias("k"))
+    lines = e.select((F.col("event_id") - e.agg(F.min("event_id")).first()[0]).alias("seq"), F.to_json(F.struct("*")).alias("value"))
+    return infer.load(lines)
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey, n_nationkey % 2 = 0 AS even, n_nationkey / 4 AS share, row_number() OVER (ORDER BY n_nationkey) - 1 AS _row_seq FROM nation")
+def csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    n = t(spark, d, "nation").withColumns({"even": F.col("n_nationkey") % 2 == 0, "share": F.col("n_nationkey") / 4})
+    return readers.read_csv(spark, str(sinks.write_csv(n.orderBy("n_nationkey"), f"{_folder(spark, 'csv')}/nation.csv", guard=False)))
+
+
+@query("SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS s, c_acctbal, row_number() OVER (ORDER BY c_custkey) - 1 AS _row_seq FROM customer")
+def jsonl_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    c = t(spark, d, "customer").select("c_custkey", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("s"), "c_acctbal")
+    return readers.read_jsonl(spark, str(sinks.write_jsonl(c.orderBy("c_custkey"), f"{_folder(spark, 'jsonl')}/customer.jsonl")))
+
+
+@query("SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderkey) - 1 AS _row_seq FROM orders")
+def parquet_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    o = t(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    return readers.read_parquet(spark, str(sinks.write_parquet(o.orderBy("o_orderkey"), f"{_folder(spark, 'parquet')}/orders.parquet")))
+
+
+@query("SELECT x, a, b FROM (VALUES (0)) p(x), (VALUES ('p'), ('q')) a(a), (VALUES (1), (2), (3)) b(b)")
+def param_grid(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(c["x"], c["a"], c["b"]) for c in readers.param_grid({"x": 0}, {"b": [1, 2, 3], "a": ["p", "q"]})], "x int, a string, b int")
+
+
+@query("SELECT c_custkey, lpad(c_nationkey::VARCHAR, 3, '0') AS code, nullif(c_mktsegment, 'BUILDING') AS segment, lpad(c_nationkey::VARCHAR, 3, '0') || '|' || c_name AS key FROM customer")
+def silver_contract(spark: SparkSession, d: str) -> DataFrame:
+    c = t(spark, d, "customer").select("c_custkey", "c_name", F.col("c_nationkey").cast("string").alias("code"), F.col("c_mktsegment").alias("seg"))
+    contract = spec.Contract(null_tokens=("BUILDING",), rename={"seg": "segment"}, zfill={"code": 3}, casts={"c_custkey": "int"}, join_keys={"key": ("code", "c_name")})
+    return build.normalize(c, contract).drop("c_name")

@@ -13,7 +13,7 @@ from importlib.metadata import entry_points
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,19 +27,58 @@ class ExportError(ValueError):
     """A table that a layout cannot hold."""
 
 
+class Files:
+    """Files of whatever store a path names (none: local files), by the Hadoop interface that Spark itself uses."""
+
+    def __init__(self, df_or_spark: DataFrame | SparkSession, path: str | Path) -> None:
+        spark = df_or_spark if isinstance(df_or_spark, SparkSession) else df_or_spark.sparkSession
+        text = str(path)
+        self.path = text if "://" in text else f"file://{Path(text).absolute()}"
+        self._jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._at(self.path).getFileSystem(conf)
+
+    def _at(self, path: str) -> Any:
+        return self._jvm.org.apache.hadoop.fs.Path(path)
+
+    def beside(self, name: str) -> str:
+        return f"{self.path.rsplit('/', 1)[0]}/{name}"
+
+    def delete(self, path: str | None = None) -> None:
+        self._fs.delete(self._at(path or self.path), True)
+
+    def size(self) -> int:
+        return self._fs.getFileStatus(self._at(self.path)).getLen()
+
+    def parts(self, folder: str) -> list[str]:
+        return sorted(p for s in self._fs.listStatus(self._at(folder)) if (p := s.getPath().toString()).rsplit("/", 1)[-1].startswith("part-"))
+
+    def put(self, part: str) -> None:
+        """Moves a finished file to the path; one that is there goes."""
+        self._fs.mkdirs(self._at(self.path).getParent())
+        self._fs.delete(self._at(self.path), False)
+        if not self._fs.rename(self._at(part), self._at(self.path)):
+            raise ExportError(f"{self.path} cannot be put in place")
+
+    def write(self, text: str) -> None:
+        draft = self.beside(f".{self.path.rsplit('/', 1)[-1]}.draft")
+        out = self._fs.create(self._at(draft), True)
+        out.write(text.encode())
+        out.close()
+        self.put(draft)
+
+
 def _one_file(df: DataFrame, to: str | Path, fmt: str, options: dict[str, Any] | None = None) -> Path:
-    to = Path(to)
-    to.parent.mkdir(parents=True, exist_ok=True)
-    draft = to.with_name(f".{to.name}.draft")
-    shutil.rmtree(draft, ignore_errors=True)
-    df.coalesce(1).write.format(fmt).options(**(options or {})).save(f"file://{draft.absolute()}")
-    parts = sorted(draft.glob("part-*"))
+    files = Files(df, to)
+    draft = files.beside(f".{files.path.rsplit('/', 1)[-1]}.draft")
+    files.delete(draft)
+    df.coalesce(1).write.format(fmt).options(**(options or {})).save(draft)
+    parts = files.parts(draft)
     if parts:
-        parts[0].replace(to)
+        files.put(parts[0])
     else:
-        to.write_text("")
-    shutil.rmtree(draft)
-    return to
+        files.write("")
+    files.delete(draft)
+    return Path(to) if "://" not in str(to) else to
 
 
 def write_parquet(df: DataFrame, to: str | Path) -> Path:
@@ -95,19 +134,17 @@ def markdown(df: DataFrame, title: str, provenance: dict[str, str] | None = None
 
 
 def write_markdown(df: DataFrame, to: str | Path, title: str = "Dataset", provenance: dict[str, str] | None = None) -> Path:
-    Path(to).parent.mkdir(parents=True, exist_ok=True)
-    Path(to).write_text(markdown(df, title, provenance), encoding="utf-8")
-    return Path(to)
+    Files(df, to).write(markdown(df, title, provenance))
+    return to
 
 
 def write_hub_layout(df: DataFrame, folder: str | Path, title: str, fmt: str = "parquet") -> Path:
     """data/train-00000-of-00001.<fmt>, a card, and dataset_infos.json."""
-    folder = Path(folder)
-    data = folder / "data" / f"train-00000-of-00001.{fmt}"
+    data = f"{folder}/data/train-00000-of-00001.{fmt}"
     {"parquet": write_parquet, "jsonl": write_jsonl}[fmt](df, data)
-    write_markdown(df, folder / "README.md", title)
-    infos = {"default": {"features": {f.name: {"dtype": f.dataType.simpleString(), "_type": "Value"} for f in df.schema.fields}, "splits": {"train": {"name": "train", "num_examples": df.count(), "num_bytes": data.stat().st_size}}}}
-    (folder / "dataset_infos.json").write_text(json.dumps(infos, indent=2, sort_keys=True), encoding="utf-8")
+    write_markdown(df, f"{folder}/README.md", title)
+    infos = {"default": {"features": {f.name: {"dtype": f.dataType.simpleString(), "_type": "Value"} for f in df.schema.fields}, "splits": {"train": {"name": "train", "num_examples": df.count(), "num_bytes": Files(df, data).size()}}}}
+    Files(df, f"{folder}/dataset_infos.json").write(json.dumps(infos, indent=2, sort_keys=True))
     return folder
 
 
@@ -115,10 +152,9 @@ def write_competition_layout(df: DataFrame, folder: str | Path, title: str, lice
     """A CSV file and dataset-metadata.json, merged with what is given; refused without a declared licence."""
     if not licence:
         raise ExportError("this layout needs a declared licence")
-    folder = Path(folder)
-    write_csv(df, folder / "data.csv")
+    write_csv(df, f"{folder}/data.csv")
     body = {"title": title, "licenses": [{"name": licence}], "resources": [{"path": "data.csv", "schema": {"fields": [{"name": f.name, "type": f.dataType.simpleString()} for f in df.schema.fields]}}]} | (metadata or {})
-    (folder / "dataset-metadata.json").write_text(json.dumps(body, indent=2, sort_keys=True, ensure_ascii=False), encoding="utf-8")
+    Files(df, f"{folder}/dataset-metadata.json").write(json.dumps(body, indent=2, sort_keys=True, ensure_ascii=False))
     return folder
 
 
@@ -175,8 +211,8 @@ def export_result(df: DataFrame, to: str | Path, fmt: str = "csv", profile: str
         row = df.agg(*(F.count_if(csv_guard(F.col(f"`{c}`")) != F.col(f"`{c}`")).alias(f"a{i}") for i, c in enumerate(texts))).first()
         altered = sum(row)
     file = write_csv(df, to, profile == "spreadsheet") if fmt == "csv" else write_jsonl(df, to)
-    size = file.stat().st_size
+    size = Files(df, file).size()
     if size > max_bytes:
-        file.unlink()
+        Files(df, file).delete()
         raise ExportError(f"more than {max_bytes} bytes")
     return {"rows": n, "bytes": size, "altered_cells": altered, "findings": [tuple(r) for r in pii.scan_values(df).collect()]}
