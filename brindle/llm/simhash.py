@@ -130,16 +130,28 @@ def _shard_links(key: np.ndarray, prints: np.ndarray, node: np.ndarray, radius:
     edge = np.flatnonzero(np.diff(key)) + 1
     start, end = np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]])
     length = np.repeat(end - start, end - start)
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    a, b = [], []
     small = np.flatnonzero(length <= LEAF)
     k, p = key[small], prints[small]
+    pairs = []
     for step in range(1, int(length[small].max(initial=0))):
         left = np.flatnonzero(k[step:] == k[:-step])
         if not len(left):
             break
-        left = left[_distance(p[left], p[left + step]) <= radius]
-        a.append(node[small[left]])
-        b.append(node[small[left + step]])
+        pairs.append((left := left[_distance(p[left], p[left + step]) <= radius], left + step))
+    x, y = (np.concatenate(c) for c in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    # Each row takes the least number that its links lead to; a star around that row stands for all pairs.
+    least = np.arange(len(small))
+    while len(x):
+        before = least.copy()
+        np.minimum.at(least, y, least[x])
+        np.minimum.at(least, x, least[y])
+        least = least[least]
+        if (before == least).all():
+            break
+    child = np.flatnonzero(least != np.arange(len(small)))
+    a.append(node[small[child]])
+    b.append(node[small[least[child]]])
     for s, e in zip(start.tolist(), end.tolist(), strict=True):
         if e - s > LEAF:
             x, y = tree_links(prints[s:e], radius)
@@ -164,7 +176,7 @@ def links(nodes: DataFrame, words: int, radius: int, masks: list[list[int]] | No
         parts = [F.col(f"f{w}").bitwiseAND(m) for w in range(words) if (m := _signed(sum(1 << (b % 64) for b in mask if b // 64 == w)))]
         return F.xxhash64(F.lit(mask[0]), F.lit(mask[-1]), F.lit(len(mask)), *parts)
 
-    dealt = nodes.select(F.explode(F.array(*map(value, masks))).alias("shard"), *names, "node").repartition("shard").sortWithinPartitions("shard")
+    dealt = nodes.select(F.explode(F.array(*map(value, masks))).alias("shard"), *names, "node").repartition("shard").sortWithinPartitions("shard", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
