@@ -35,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -320,7 +321,23 @@ def _share(data: pa.Table, hot_docs: int) -> pa.Table:
     return _told_table([int(group[x]) for x, _ in cuts], [bucket] * len(cuts), [value[x:y].tobytes() for x, y in cuts], [hot[x:y].tobytes() for x, y in cuts], [None] * len(cuts))
 
 
-_UNITS = "bucket long, g long, units binary, docs binary, keys binary, sizes binary, text binary"
+_UNITS = "bucket long, g long, n long, packed binary"
+#: Of a unit: its number, the smallest document with it, half of its key (units of one key stay together, whatever
+#: else comes beside them) and its length.
+_HEAD = (("unit", np.dtype("<i4")), ("doc", np.dtype("<i8")), ("key", np.dtype("<u4")), ("size", np.dtype("<u2")))
+
+
+def _packed(columns: dict[str, np.ndarray], text: bytes) -> bytes:
+    """Units and their texts, one after another, compressed: they are most of what is shuffled."""
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([*(columns[name].astype(kind).tobytes() for name, kind in _HEAD), text]))
+
+
+def _unpacked(n: int, packed: bytes) -> tuple[dict[str, np.ndarray], bytes]:
+    raw, at, columns = zstandard.ZstdDecompressor().decompress(packed), 0, {}
+    for name, kind in _HEAD:
+        columns[name] = np.frombuffer(raw, kind, n, at)
+        at += n * kind.itemsize
+    return columns, raw[at:]
 
 
 def _send_units(bits: int, buckets: int):
@@ -335,9 +352,10 @@ def _send_units(bits: int, buckets: int):
         g, rows = (docs.column("g")[0].as_py() if docs.num_rows else 0), []
         for a, b in zip(*_cuts(bucket[order]), strict=True):
             u = order[a:b]
-            rows.append((int(bucket[u[0]]), g, u.astype(np.int64).tobytes(), owner[u].tobytes(), key[u].tobytes(), size[u].tobytes(), b"".join([units.content[i] for i in u.tolist()])))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-        return pa.table([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), *[pa.binary()] * 5), strict=True)], [x.split()[0] for x in _UNITS.split(", ")])
+            columns = {"unit": u, "doc": owner[u], "key": key[u] >> np.uint64(32), "size": size[u]}
+            rows.append((int(bucket[u[0]]), g, len(u), _packed(columns, b"".join([units.content[i] for i in u.tolist()]))))
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        return pa.table([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], [x.split()[0] for x in _UNITS.split(", ")])
 
     return send
 
@@ -345,14 +363,14 @@ def _send_units(bits: int, buckets: int):
 def _match(data: pa.Table, array_bytes: int) -> pa.Table:
     """Of one bucket of units: which windows of which units start in a smaller document."""
     group, unit, doc, key, content = [], [], [], [], []
-    for row in data.to_pylist():
-        u, d, k, s = (np.frombuffer(row[x], t) for x, t in (("units", np.int64), ("docs", np.int64), ("keys", np.uint64), ("sizes", np.int64)))
-        end = np.cumsum(s)
-        group.append(np.full(len(u), row["g"]))
-        unit.append(u)
-        doc.append(d)
-        key.append(k)
-        content += [row["text"][a:b] for a, b in zip((end - s).tolist(), end.tolist(), strict=True)]
+    for g, n, packed in zip(*(data.column(x).to_pylist() for x in ("g", "n", "packed")), strict=True):
+        columns, text = _unpacked(n, packed)
+        end = np.cumsum(columns["size"], dtype=np.int64)
+        group.append(np.full(n, g))
+        unit.append(columns["unit"].astype(np.int64))
+        doc.append(columns["doc"])
+        key.append(columns["key"])
+        content += [text[a:b] for a, b in zip((end - columns["size"]).tolist(), end.tolist(), strict=True)]
     group, unit, doc, key = (np.concatenate(x) for x in (group, unit, doc, key))
     # Units that groups have in common enter a suffix array once, with their smallest document.
     order = np.lexsort((doc, key))
@@ -384,12 +402,13 @@ def _match(data: pa.Table, array_bytes: int) -> pa.Table:
     run_from = np.sort(np.concatenate([np.flatnonzero(edge == 1), cut]))
     run_to = np.sort(np.concatenate([np.flatnonzero(edge == -1), cut]))
     of = np.searchsorted(begin, run_from, side="right") - 1
-    for j in np.flatnonzero(~later).tolist() if len(run_from) else ():
-        a, b = np.searchsorted(of, same[j]), np.searchsorted(of, same[j], side="right")
-        if a < b:
-            out_row.append(np.full(b - a, order[j]))
-            out_from.append(run_from[a:b] - begin[same[j]])
-            out_to.append(run_to[a:b] - begin[same[j]])
+    own = np.flatnonzero(~later)
+    a, b = np.searchsorted(of, same[own]), np.searchsorted(of, same[own], side="right")
+    each = np.repeat(own, b - a)
+    hit = np.repeat(a - (np.cumsum(b - a) - (b - a)), b - a) + np.arange((b - a).sum())
+    out_row.append(order[each])
+    out_from.append(run_from[hit] - begin[same[each]])
+    out_to.append(run_to[hit] - begin[same[each]])
     row, lo, hi = (np.concatenate(x) for x in (out_row, out_from, out_to))
     by = np.argsort(group[row], kind="stable")
     row, lo, hi = row[by], lo[by], hi[by]
