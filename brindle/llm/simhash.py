@@ -36,11 +36,12 @@ SEED = 42
 LEAF = 64
 
 
-def shingle_hashes(text: str | None, width: int, seeds: tuple[int, ...] = (SEED,)) -> np.ndarray:
-    """XXH64 of each shingle of width words (fewer words: of all), as big-endian bytes: (n, 8 x seeds)."""
+def shingle_hashes(text: str | None, width: int, seeds: tuple[int, ...] = (SEED,), wide: bool = False) -> np.ndarray:
+    """XXH64 (wide: 128-bit XXH3) of each shingle of width words (fewer words: of all) for each seed, as big-endian bytes."""
+    digest, size = (xxhash.xxh3_128_digest, 16) if wide else (xxhash.xxh64_digest, 8)
     words = (text or "").encode().lower().split()
     if not words:
-        return np.zeros((0, 8 * len(seeds)), np.uint8)
+        return np.zeros((0, size * len(seeds)), np.uint8)
     line = b" ".join(words)
     if len(words) <= width:
         pieces = [line]
@@ -48,29 +49,34 @@ def shingle_hashes(text: str | None, width: int, seeds: tuple[int, ...] = (SEED,
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate([[0], ends[:-width] + 1])
         pieces = [line[a:b] for a, b in zip(starts.tolist(), ends[width - 1 :].tolist(), strict=True)]
-    digest = xxhash.xxh64_digest
-    return np.stack([np.frombuffer(b"".join([digest(p, s) for p in pieces]), np.uint8).reshape(-1, 8) for s in seeds], 1).reshape(len(pieces), -1)
+    return np.stack([np.frombuffer(b"".join([digest(p, s) for p in pieces]), np.uint8).reshape(-1, size) for s in seeds], 1).reshape(len(pieces), -1)
 
 
-def fingerprint(text: str | None, width: int = 3, seeds: tuple[int, ...] = (SEED,)) -> list[int]:
-    """One signed 64-bit word per seed; a bit is 1 if it is set in over half of the shingles' hashes."""
-    hashes = shingle_hashes(text, width, seeds)
+def n_words(seeds: tuple[int, ...], wide: bool) -> int:
+    """64-bit words of a fingerprint."""
+    return len(seeds) * (2 if wide else 1)
+
+
+def fingerprint(text: str | None, width: int = 3, seeds: tuple[int, ...] = (SEED,), wide: bool = False) -> list[int]:
+    """Signed 64-bit words; a bit is 1 if it is set in over half of the shingles' hashes."""
+    hashes = shingle_hashes(text, width, seeds, wide)
     if not len(hashes):
-        return [0] * len(seeds)
-    votes = np.zeros(64 * len(seeds), np.int64)
+        return [0] * n_words(seeds, wide)
+    votes = np.zeros(64 * n_words(seeds, wide), np.int64)
     for at in range(0, len(hashes), 200):  # few enough to be summed in bytes
         votes += np.unpackbits(hashes[at : at + 200], axis=1).sum(0, dtype=np.uint8)
     return np.packbits(2 * votes > len(hashes)).view(">i8").tolist()
 
 
-def fingerprints(docs: DataFrame, width: int = 3, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
+def fingerprints(docs: DataFrame, width: int = 3, seeds: tuple[int, ...] = (SEED,), wide: bool = False) -> DataFrame:
     """(doc_id, f0, f1, ...) of docs(doc_id, text), one row per row."""
-    names = [f"f{i}" for i in range(len(seeds))]
+    n = n_words(seeds, wide)
+    names = [f"f{i}" for i in range(n)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py(), width, seeds) for t in batch.column("text")], np.int64).reshape(-1, len(seeds))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(found[:, i]) for i in range(len(seeds)))], ["doc_id", *names])
+            found = np.array([fingerprint(t.as_py(), width, seeds, wide) for t in batch.column("text")], np.int64).reshape(-1, n)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(found[:, i]) for i in range(n))], ["doc_id", *names])
 
     return small_batches(docs).select("doc_id", "text").mapInArrow(run, ", ".join([f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", *(f"{n} long" for n in names)]))
 
@@ -208,31 +214,32 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def grouped(docs: DataFrame, width: int = 3, radius: int = 3, seeds: tuple[int, ...] = (SEED,), masks: list[list[int]] | None = None) -> DataFrame:
+def grouped(docs: DataFrame, width: int = 3, radius: int = 3, seeds: tuple[int, ...] = (SEED,), wide: bool = False, masks: list[list[int]] | None = None) -> DataFrame:
     """(doc_id, f0, ..., component_id) of docs(doc_id, text); the smallest doc_id reachable by links."""
-    names = [f"f{i}" for i in range(len(seeds))]
-    prints = checkpointed(fingerprints(docs, width, seeds))
+    n = n_words(seeds, wide)
+    names = [f"f{i}" for i in range(n)]
+    prints = checkpointed(fingerprints(docs, width, seeds, wide))
     nodes = prints.groupBy(*names).agg(F.min("doc_id").alias("node"))
-    found = connected_components(links(nodes.where("node is not null"), len(seeds), radius, masks))
+    found = connected_components(links(nodes.where("node is not null"), n, radius, masks))
     named = nodes.join(found, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
     return prints.join(named, names)
 
 
-#: Wide fingerprints: 128 bits from two seeds, 64 bands of 16 bits each, alike if at most 25 bits differ.
-WIDE_SEEDS, BANDS, BAND_BITS, WIDE_RADIUS = (42, 43), 64, 16, 25
+#: Wide fingerprints: 256 bits, of two seeds, and 64 bands of 16 bits each.
+WIDE_SEEDS, BANDS, BAND_BITS = (42, 43), 64, 16
 
 
 def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, f0, f1, component_id): groups of texts whose fingerprints agree in similarity of their bits.
+    """(doc_id, f0, ..., f3, component_id): groups of texts whose fingerprints agree in similarity of their bits.
 
     At such a radius no partition of the Hamming space is exact and small, so that shards are bands: fixed
     random choices of BAND_BITS of the bits. A pair that agrees in 85 % of its bits meets in some band with
     a probability of about 0.99, one that agrees in 90 % with 0.9999.
     """
     pick = random.Random(SEED)
-    bits = 64 * len(WIDE_SEEDS)
+    bits = 64 * n_words(WIDE_SEEDS, True)
     masks = [sorted(pick.sample(range(bits), BAND_BITS)) for _ in range(BANDS)]
-    return grouped(docs, width, int(bits * (1 - similarity) + 1e-9), WIDE_SEEDS, masks)
+    return grouped(docs, width, int(bits * (1 - similarity) + 1e-9), WIDE_SEEDS, True, masks)
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
