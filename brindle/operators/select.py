@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.operators.stable import kept
+
 SEQ = "_row_seq"
 OPERATORS = {
     "eq": lambda a, b: a == b, "ne": lambda a, b: a != b, "gt": lambda a, b: a > b,
@@ -73,9 +75,10 @@ def numbered(df: DataFrame, order: list[Column] | None = None, name: str = SEQ)
     """df with row numbers from 0, by order, or as its partitions lie.
 
     A global number needs no gathering: rows are sorted by ranges, each range is counted, and a row's number is
-    its place in its range after all ranges before, which are as many rows as there are partitions.
+    its place in its range after all ranges before, which are as many rows as there are partitions. Ranges
+    rest on samples, and may fall out otherwise if they are computed anew, so that the sorted rows are kept.
     """
-    placed = (df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df).withColumns({"_at": F.monotonically_increasing_id()})
+    placed = kept((df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df).withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", 33)
     counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from brindle.functions import casts, derive, pii, wire
 from brindle.operators import aggregate, history, joins, provenance, quality, rows, select, splits, summary
+from brindle.operators.stable import shared_folder
 from brindle.plans import build, spec, validator
 from brindle.sources import infer, readers, sinks
 
@@ -433,7 +434,7 @@ def union_by_name(spark: SparkSession, d: str) -> DataFrame:
 
 def _folder(spark: SparkSession, name: str) -> str:
     """A new folder where the cluster keeps what all its machines share."""
-    return f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 @query("SELECT event_id, user_id, event_type, value, CAST(nullif(event_id % 3, 0) AS BIGINT) AS k, event_id - 1 + 1 - (SELECT min(event_id) FROM events) AS _row_seq FROM events")

@@ -70,13 +70,22 @@ def csv_records(text: str) -> list[list[str | None]]:
     return out
 
 
+def file_lines(spark: SparkSession, path: str, name: str = SEQ) -> DataFrame:
+    """(name, value): the lines of a file, or of a folder's files by their paths, numbered in order.
+
+    A scan packs pieces of files by size, so that order is taken from the file, the piece's offset, and the place in it.
+    """
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+    return numbered(raw, [F.col("_file"), F.col("_block"), F.col("_line")], name).select(name, "value")
+
+
 def read_csv(spark: SparkSession, path: str, read_as: dict[str, str] | None = None) -> DataFrame:
     """A CSV file with a header, each column typed by all of its values; _row_seq numbers the rows.
 
     Files that hold one record per line are read line by line on the executors; a file with quoted line breaks is
     read whole, as a record may then begin anywhere.
     """
-    raw = spark.read.option("lineSep", "\n").text(path)
+    raw = spark.read.text(path)
     head = raw.limit(1).collect()
     if not head:
         raise SourceError("the file is empty")
@@ -104,7 +113,7 @@ def read_csv(spark: SparkSession, path: str, read_as: dict[str, str] | None = No
                     out.append(got[0] + [None] * (width - len(got[0])) if got else None)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], [SEQ, "f"])
 
-        parsed = numbered(raw).select(SEQ, "value").mapInArrow(parse, f"{SEQ} long, f array<string>").where(f"{SEQ} > 0 and f is not null")
+        parsed = file_lines(spark, path).mapInArrow(parse, f"{SEQ} long, f array<string>").where(f"{SEQ} > 0 and f is not null")
         lines = numbered(parsed.select("f", F.col(SEQ).alias("_line")), [F.col("_line")]).drop("_line")
     df = lines.select(SEQ, *(F.col("f")[i].alias(n) for i, n in enumerate(names)))
     return typed(df, names, read_as)
@@ -127,7 +136,7 @@ def typed(df: DataFrame, names: list[str], read_as: dict[str, str] | None = None
 
 def read_jsonl(spark: SparkSession, path: str, read_as: dict[str, str] | None = None) -> DataFrame:
     """One object per line; blank lines are left out, a bad line is reported by its number."""
-    lines = numbered(spark.read.text(path), name="seq").where(F.trim("value") != "")
+    lines = file_lines(spark, path, "seq").where(F.trim("value") != "")
     if not lines.limit(1).count():
         raise SourceError("the file holds no record")
     return infer.load(lines, read_as=read_as)
