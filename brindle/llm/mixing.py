@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import checkpointed, small, table
+from brindle.llm.common import checkpointed, free_name, small, table
 
 WEIGHTS = (3, 1, 2)
 SHARE, REPEATS = 1.5, 2
@@ -133,11 +133,13 @@ def remix(docs: DataFrame) -> DataFrame:
 
     Rows of no words, of which a mix by words takes nothing, go. Columns stay as they are.
     """
-    mixed = mix(docs).select(F.col("doc_id").alias("_id"), F.col("place").alias("_place"), F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int").alias("_turns"), "size")
+    place, turn = free_name(docs, "place"), free_name(docs, "turn")
     # Rows that agree in doc_id and text share a place, and lie side by side in the stream: they take turns together.
-    mixed = mixed.where("size > 0").groupBy("_id", "_place").agg(F.max("_turns").alias("_turns")).where("_turns > 0")
-    keyed = docs.withColumn("_place", F.xxhash64(F.lit(SEED), "doc_id", "text"))
-    return keyed.join(small(mixed), keyed["doc_id"].eqNullSafe(mixed["_id"]) & (keyed["_place"] == mixed["_place"])).withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_turns")))).select(*[docs[c] for c in docs.columns])
+    rounded = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    turns = mix(docs).where("size > 0").groupBy(F.col("doc_id").alias("id"), "place").agg(F.max(rounded).alias("turns")).where("turns > 0").alias("t")
+    keyed = docs.withColumn(place, F.xxhash64(F.lit(SEED), "doc_id", "text")).alias("d")
+    met = keyed.join(small(turns), F.col("d.doc_id").eqNullSafe(F.col("t.id")) & (F.col(f"d.{place}") == F.col("t.place")))
+    return met.select("d.*", F.explode(F.sequence(F.lit(1), F.col("t.turns"))).alias(turn)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

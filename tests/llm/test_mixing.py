@@ -63,10 +63,11 @@ def test_every_stretch_of_the_schedule_holds_the_sources_in_proportion(spark):
 
 def test_rows_are_repeated_whole(spark):
     texts, kind, df = corpus(spark)
+    df = df.withColumnsRenamed({"size": "place"}).withColumns({"turn": df.doc_id, "turns": df.doc_id, "id": df.doc_id})
     out = remix(df)
     assert out.columns == df.columns
     rows = out.collect()
-    assert all(r.text == texts[r.doc_id] and r.text.split() for r in rows)
+    assert all(r.text == texts[r.doc_id] and r.text.split() and r.place == str(r.doc_id) and r.turn == r.doc_id for r in rows)
     assert max(sum(r.doc_id == i for r in rows) for i in range(20)) <= 2
     words = sum(len(r.text.split()) for r in rows)
     total = sum(len((t or "").split()) for t in texts)
