@@ -6,10 +6,10 @@ added up unseen: a group that mixes units refuses the whole result, or the unit
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,9 +42,8 @@ class AggregatePlan:
 
 @dataclass(frozen=True)
 class Outcome:
-    rows: DataFrame
+    rows: DataFrame  # at most the limit, and so at most MAX_LIMIT
     group_count: int
-    schema: T.StructType = field(compare=False, default=None)
 
 
 class MixedUnits(ValueError):
@@ -119,10 +118,15 @@ def run(df: DataFrame, plan: AggregatePlan) -> Outcome:
         u = F.col(f"`{plan.unit_column}`")
         parts += [(F.count_distinct(u) + F.max(F.when(u.isNull(), 1).otherwise(0))).alias("_units")]
     groups = df.groupBy(*(F.col(f"`{k}`") for k in keys)).agg(*parts)
-    seen = groups.agg(F.count("*").alias("n"), *([F.count_if(F.col("_units") > 1).alias("mixed")] if watch else [])).first()
-    if watch and seen["mixed"]:
-        raise MixedUnits([tuple(r) for r in groups.where("_units > 1").select(*keys, "_units").orderBy(*keys).limit(5).collect()])
-    if seen["n"] > MAX_GROUPS:
-        raise PlanError(f"{seen['n']} groups; at most {MAX_GROUPS} are returned, and none is left out unseen")
+    # All groups are counted, and checked, on their way to the sort: the table is read once.
+    told = Observation()
     order = [F.desc_nulls_last(by) if down else F.asc_nulls_last(by) for by, down in plan.order]
-    return Outcome(groups.drop("_units").orderBy(*order, *(F.asc_nulls_last(k) for k in keys)).limit(plan.limit), seen["n"], df.schema)
+    seen = groups.observe(told, F.count(F.lit(1)).alias("n"), F.count_if(F.col("_units") > 1 if watch else F.lit(False)).alias("mixed"))
+    cut = seen.drop("_units").orderBy(*order, *(F.asc_nulls_last(k) for k in keys)).limit(plan.limit)
+    found = cut.collect()
+    counts = told.get
+    if counts["mixed"]:
+        raise MixedUnits([tuple(r) for r in groups.where("_units > 1").select(*keys, "_units").orderBy(*keys).limit(5).collect()])
+    if counts["n"] > MAX_GROUPS:
+        raise PlanError(f"{counts['n']} groups; at most {MAX_GROUPS} are returned, and none is left out unseen")
+    return Outcome(df.sparkSession.createDataFrame(found, cut.schema), counts["n"])

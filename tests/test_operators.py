@@ -185,3 +185,5 @@ def test_masked_columns_are_masked_before_any_expression(people):
     assert {r[0] for r in validator.run(people, "SELECT concat(region, '!') FROM dataset", ("region",)).collect()} == {"[masked]!"}
     assert validator.run(people, "SELECT people FROM dataset ORDER BY people").collect()[-1][0] is None
     assert validator.run(people, "SELECT people FROM dataset ORDER BY people NULLS FIRST").collect()[0][0] is None
+    assert validator.run(people, "SELECT '🙂;' AS s, people FROM dataset ORDER BY people DESC LIMIT 1").first().people == 50
+    assert validator.nulls_last(people.sparkSession, "SELECT '🙂', row_number() OVER (ORDER BY seq DESC) AS r FROM dataset ORDER BY r, seq") == "SELECT '🙂', row_number() OVER (ORDER BY seq DESC NULLS LAST) AS r FROM dataset ORDER BY r NULLS LAST, seq NULLS LAST"
