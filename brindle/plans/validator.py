@@ -141,9 +141,8 @@ def nulls_last(spark: SparkSession, sql: str) -> str:
             visit_expression(e)
 
     visit(plan)
-    text = sql.strip().rstrip(";").encode("utf-16-le")  # the parser counts as Java does
-    for end in sorted(ends, reverse=True):
-        key = text[: 2 * end].decode("utf-16-le")
-        if not re.search(r"\bNULLS\s+(FIRST|LAST)\s*$", key, re.I):
-            text = f"{key} NULLS LAST".encode("utf-16-le") + text[2 * end :]
-    return text.decode("utf-16-le")
+    text = sql.strip().rstrip(";")
+    for end in sorted(ends, reverse=True):  # the parser counts code points, as Python does
+        if not re.search(r"\bNULLS\s+(FIRST|LAST)\s*$", text[:end], re.I):
+            text = f"{text[:end]} NULLS LAST{text[end:]}"
+    return text
