@@ -12,20 +12,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.functions.wire import canonical_lines
-
-# The multiset checksum multiplies modulo this prime.
+# The multiset checksum multiplies modulo this prime, and hashes under this name.
 BITS = 3072
 MODULUS = 2**BITS - 1103717
 _DOMAIN = b"canonical-multiset-v2\0"
 
 
+def record_lines(df: DataFrame) -> DataFrame:
+    """(line): each row as the JSON text that checksums are of: sorted keys, a space behind colons and commas, and
+    what JSON has no type for as text."""
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_line(r) for r in batch.to_pylist()], pa.string())], ["line"])
+
+    return df.mapInArrow(lines, "line string")
+
+
+def _line(record: dict) -> str:
+    return json.dumps(record, ensure_ascii=False, sort_keys=True, default=str)
+
+
 def ordered_checksum(lines: DataFrame) -> str:
-    """SHA-256 of the lines in order: a stream of sorted partitions, never the table at once."""
-    digest = hashlib.sha256()
+    """SHA-256 of the JSON array of the lines in order: a stream of sorted partitions, never the table at once."""
+    digest, first = hashlib.sha256(b"["), True
     for row in lines.orderBy("line").toLocalIterator(prefetchPartitions=True):
-        digest.update(row.line.encode() + b"\n")
-    return digest.hexdigest()
+        digest.update((b"" if first else b",") + row.line.encode())
+        first = False
+    digest.update(b"]")
+    return f"sha256:{digest.hexdigest()}"
 
 
 def _element(line: str) -> int:
@@ -42,8 +57,8 @@ def multiset_checksum(df: DataFrame) -> str:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         product, n = 1, 0
         for batch in batches:
-            for line in batch.column(0).to_pylist():
-                product, n = product * _element(line) % MODULUS, n + 1
+            for record in batch.to_pylist():
+                product, n = product * _element(_line(record)) % MODULUS, n + 1
         yield _one(product, n)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,7 +68,7 @@ def multiset_checksum(df: DataFrame) -> str:
                 product, n = product * int.from_bytes(p, "big") % MODULUS, n + k
         yield _one(product, n)
 
-    found = canonical_lines(df).mapInArrow(rows, "product binary, n long").repartition(8).mapInArrow(parts, "product binary, n long").collect()
+    found = df.mapInArrow(rows, "product binary, n long").repartition(8).mapInArrow(parts, "product binary, n long").collect()
     product, n = 1, 0
     for r in found:
         product, n = product * int.from_bytes(r.product, "big") % MODULUS, n + r.n

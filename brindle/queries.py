@@ -371,7 +371,7 @@ query("SELECT event_type AS source, CASE WHEN event_type = 'view' THEN 'unknown'
 
 def _checksums(spark: SparkSession, d: str) -> DataFrame:
     e = t(spark, d, "nation")
-    return spark.createDataFrame([(provenance.multiset_checksum(e), provenance.multiset_checksum(e.orderBy(F.rand(3)).repartition(5)), provenance.ordered_checksum(wire.canonical_lines(e)))], "multiset string, reordered string, ordered string")
+    return spark.createDataFrame([(provenance.multiset_checksum(e), provenance.multiset_checksum(e.orderBy(F.rand(3)).repartition(5)), provenance.ordered_checksum(provenance.record_lines(e)))], "multiset string, reordered string, ordered string")
 
 
 query(None, "multiset_checksum")(_checksums)

@@ -1,3 +1,4 @@
+import hashlib
 from datetime import UTC, datetime, timedelta
 
 import pytest
@@ -93,8 +94,6 @@ def test_ratio_splits_are_exact_and_reproducible(spark):
     df = spark.range(101).withColumnRenamed("id", "_row_seq")
     got = {r._row_seq: r.split for r in splits.ratio_split(df, {"train": 0.7, "test": 0.2, "dev": 0.1}, 3).collect()}
     assert splits.shares(101, {"train": 0.7, "test": 0.2, "dev": 0.1}) == {"dev": 10, "test": 20, "train": 71}
-    import hashlib
-
     order = sorted(got, key=lambda i: (hashlib.md5(f"3:{i}".encode()).hexdigest(), i))
     assert [got[i] for i in order] == ["dev"] * 10 + ["test"] * 20 + ["train"] * 71
     for ratios in ({}, {"a": 0.5}, {"a": -1, "b": 2}, {"a": float("nan"), "b": 1}):
@@ -138,6 +137,12 @@ def test_multiset_checksums_ignore_order_and_see_copies(spark):
     df = spark.createDataFrame([(1, "x"), (2, None), (1, "x")], "a int, b string")
     one = provenance.multiset_checksum(df)
     assert one == provenance.multiset_checksum(df.orderBy("b").repartition(3)) != provenance.multiset_checksum(df.distinct())
+    lines = sorted(['{"a": 1, "b": "x"}', '{"a": 2, "b": null}', '{"a": 1, "b": "x"}'])
+    assert provenance.ordered_checksum(provenance.record_lines(df)) == "sha256:" + hashlib.sha256(f"[{','.join(lines)}]".encode()).hexdigest()
+    product = 1
+    for line in lines:
+        product = product * int.from_bytes(hashlib.shake_256(b"canonical-multiset-v2\0" + line.encode()).digest(384), "big") % provenance.MODULUS
+    assert one == "sha256:" + hashlib.sha256(b"canonical-multiset-v2\0" + (3).to_bytes(8, "big") + product.to_bytes(384, "big")).hexdigest()
     assert provenance.coverage([(5, 5), (3, 2)]) == "partial" and provenance.coverage([(None, 3)]) == "unknown" and provenance.coverage([(5, 5)]) == "complete"
     assert provenance.compare_manifests({"a": "1", "b": "2"}, {"b": "3", "c": "4"}) == {"added": ["c"], "removed": ["a"], "modified": ["b"]}
     assert not provenance.has_changed("x", {"a": 1}, {"checksum": "x", "params": {"a": 1}}) and provenance.has_changed("x", {}, None)
