@@ -243,5 +243,5 @@ def round_trip(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = round_trip(table(spark, sf_dir, "documents"))
+    coded = round_trip(table(spark, sf_dir, "documents", spread="doc_id"))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -147,7 +147,7 @@ def _joined(spans: Column) -> Column:
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = scan(table(spark, sf_dir, "documents", spread="doc_id").select("doc_id", "text"))
     spans = F.col("spans")
     counts = [F.size(_of_kinds(spans, k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
     base = _of_kinds(spans, *BASE_KINDS)

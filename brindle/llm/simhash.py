@@ -253,5 +253,5 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = grouped(table(spark, sf_dir, "documents"))
+    found = grouped(table(spark, sf_dir, "documents", spread="doc_id"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")

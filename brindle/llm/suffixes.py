@@ -481,6 +481,6 @@ def dedup(docs: DataFrame, hot: int = HOT, group_bytes: int = GROUP_BYTES, bucke
 
 
 def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup(table(spark, sf_dir, "documents"))
+    found = dedup(table(spark, sf_dir, "documents", spread="doc_id"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -238,5 +238,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    scored = score(table(spark, sf_dir, "documents", spread="doc_id"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", (_fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "ll_toxic", "ll_ordinary")
