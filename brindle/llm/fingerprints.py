@@ -173,7 +173,8 @@ def versions(docs: DataFrame) -> DataFrame:
     given = unique(to.join(place, [to["doc_id"].eqNullSafe(place["doc_id"]), to["h"] == place["h"]]).select(to["doc_id"], to["h"], "to_id", "to_h", "half", "copies"))
     given = given.select(F.col("to_id").alias("doc_id"), F.col("to_h").alias("h"), F.expr("substring(text, 1, half)").alias("insert"), digests(F.col("text")).alias("next_digests"))
     own = unique(place)
-    met = own.alias("o").join(given.alias("g"), F.col("o.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("o.h") == F.col("g.h"))).select("o.doc_id", "o.text", "o.n", "o.copies", "g.insert", "g.next_digests")
+    # Texts meet by shuffling, whatever their estimated size: a broadcast of texts has no bound.
+    met = own.alias("o").join(given.hint("shuffle_merge").alias("g"), F.col("o.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("o.h") == F.col("g.h"))).select("o.doc_id", "o.text", "o.n", "o.copies", "g.insert", "g.next_digests")
     # Of equal rows each but the last is followed by its like.
     turn = met.withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).withColumn("last", F.col("turn") == F.col("copies"))
     half = F.floor(F.col("n") / 2).cast("int")
