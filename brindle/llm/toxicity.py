@@ -12,8 +12,10 @@ A text's length-normalised log-likelihoods under both models are compared twice,
 over its most toxic run of WINDOW words (a long text with one insult is toxic); a logistic curve over the
 two differences, fitted on rows that gave no counts, turns them into a score.
 
-Words and pairs are hashed to tables of fixed size, so that the model shipped to executors has one size
-whatever the corpus; counting itself covers every labelled row. Null and empty texts score as texts of no
+Words and pairs are counted by 64-bit hashes of their own, never by shared slots, so that what is gathered
+grows with the distinct expressions of the labelled rows. The discount for pairs is taken in Spark; the model
+shipped to executors holds every counted word (all of them have a likelihood) and, of the pairs, only those
+that depart from the shared count. Null and empty texts score as texts of no
 words. Several labels of one doc_id: toxic if any says so; null labels are ignored. Without a toxic and an
 ordinary training row there is nothing to compare, and every score is 0.
 """
@@ -21,23 +23,23 @@ ordinary training row there is nothing to compare, and every score is 0.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import small, small_batches, table
+from brindle.llm.common import checkpointed, small, small_batches, table
 
-#: Bits of a word's and of a context's hash, and slots (a prime) of word pairs in the model.
-WORD_BITS, CONTEXT_BITS, PAIR_SLOTS = 18, 22, 1_048_573
 #: least + spread * sqrt(shared count): the discount of single words and of pairs.
 WORD_DISCOUNT, PAIR_DISCOUNT = (2.0, 3.0), (8.0, 4.0)
 #: The share of the backoff count that even a count kept by a class is mixed with.
 BACKOFF_SHARE = 0.05
+#: What every count is raised by, so that none is zero in a logarithm.
+UNIT = 0.05
 WINDOW = 8
 #: The logistic curve (three numbers) is fitted on at most about this many labelled rows.
 CALIBRATION_ROWS = 20_000
@@ -54,29 +56,35 @@ def word_hashes(text: str | None) -> np.ndarray:
     for w in words:
         h = _ids.get(w)
         if h is None:
-            h = _ids[w] = zlib.crc32(w.encode())
+            h = _ids[w] = xxhash.xxh64_intdigest(w.encode())
         out.append(h)
-    return np.array(out, dtype=np.int64)
+    return np.array(out, dtype=np.uint64).view(np.int64)
 
 
 def pair_keys(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Per word of text: its slot, and its slot joined with its left neighbour's hash."""
-    h = word_hashes(text)
-    word = h & ((1 << WORD_BITS) - 1)
-    left = np.concatenate([np.array([-1], np.int64), h[:-1]]) if len(h) else h
-    context = ((left * 0x9E3779B1) >> 7) & ((1 << CONTEXT_BITS) - 1)
-    return word, word << CONTEXT_BITS | context
+    """Per word of text: its hash, and the hash of the pair that it makes with its left neighbour."""
+    word = word_hashes(text)
+    w = word.view(np.uint64)
+    left = np.concatenate([np.array([0], np.uint64), w[:-1]]) if len(w) else w
+    # Each step is one-to-one in w, so that pairs of one left neighbour never meet.
+    h = (left * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD1B54A32D192ED03)) ^ w
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return word, (h ^ (h >> np.uint64(32))).view(np.int64)
 
 
-def pair_slot(key: np.ndarray) -> np.ndarray:
-    return key % PAIR_SLOTS
+def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where wanted stand in the ascending keys (not none), and whether they do."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
 
 
 @dataclass
 class Model:
-    toxic: np.ndarray  # log-likelihood by word slot
+    words: np.ndarray  # hashes of all counted words, ascending
+    toxic: np.ndarray  # their log-likelihoods
     ordinary: np.ndarray
-    pairs: np.ndarray  # slots of the pairs that speak for a class, ascending
+    unknown: float  # log-likelihood of any other word
+    pairs: np.ndarray  # hashes of the pairs that speak for a class, ascending
     pair_gain: np.ndarray  # what such a pair adds to toxic minus ordinary
     curve: tuple[float, float, float] = (0.0, 0.0, 0.0)
 
@@ -85,11 +93,11 @@ class Model:
         word, key = pair_keys(text)
         if not len(word):
             return 0.0, 0.0, 0.0, 0.0
-        t, o = self.toxic[word].astype(float), self.ordinary[word].astype(float)
+        at, known = _at(self.words, word)
+        t, o = np.where(known, self.toxic[at], self.unknown).astype(float), np.where(known, self.ordinary[at], self.unknown).astype(float)
         if len(self.pairs):
-            slot = pair_slot(key)
-            at = np.minimum(np.searchsorted(self.pairs, slot), len(self.pairs) - 1)
-            t = t + np.where(self.pairs[at] == slot, self.pair_gain[at], 0.0)
+            at, known = _at(self.pairs, key)
+            t = t + np.where(known, self.pair_gain[at], 0.0)
         total = np.concatenate([[0.0], np.cumsum(t - o)])
         k = min(WINDOW, len(word))
         return float(t.mean()), float(o.mean()), float(total[-1] / len(word)), float((total[k:] - total[:-k]).max() / WINDOW)
@@ -99,47 +107,52 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(a + b * mean + c * window, -30, 30))))
 
 
-def _discounted(counts: np.ndarray, totals: np.ndarray, discount: tuple[float, float], shared: np.ndarray | None = None) -> np.ndarray:
-    """counts (2, n) by class, with what lies within the discount replaced by the shared backoff count."""
-    if shared is None:
-        shared = counts.sum(0)[None, :] * (totals / totals.sum())[:, None]
-    kept = (np.abs(counts - shared) > discount[0] + discount[1] * np.sqrt(shared)).any(0)
-    return np.where(kept, (counts + BACKOFF_SHARE * shared) / (1 + BACKOFF_SHARE), shared)
-
-
-def _model(words: np.ndarray, slots: np.ndarray, slot_words: np.ndarray, pairs: np.ndarray) -> Model:
-    """words: (2, 2^WORD_BITS) context counts (ordinary, toxic); pairs: (2, n) of slots."""
-    totals = words.sum(1) + 1e-9
-    unit = 0.05
-    kept = _discounted(words, totals, WORD_DISCOUNT)
-    shared = words.sum(0) / totals.sum()
-    # A slot that no training word fell into has the same small share under both models.
-    like = [np.log((kept[y] / totals[y]) + unit / totals.sum()) for y in (0, 1)]
-    for y in (0, 1):
-        like[y] = np.where(shared > 0, like[y], np.log(unit / totals.sum()))
-    lean = np.exp(like[1] - like[0])[slot_words]  # what the words alone lead to expect of their pairs
-    size = np.maximum(pairs.sum(0), 1e-9)
-    odds = lean * totals[1] / totals[0]
-    expected = np.stack([size / (1 + odds), size * odds / (1 + odds)])
-    told = _discounted(pairs, pairs.sum(1) + 1e-9, PAIR_DISCOUNT, expected)
-    gain = np.log((told[1] + unit) / (expected[1] + unit)) - np.log((told[0] + unit) / (expected[0] + unit))
-    speak = np.flatnonzero(np.abs(gain) > 1e-9)
-    order = speak[np.argsort(slots[speak], kind="stable")]
-    return Model(like[1].astype(np.float32), like[0].astype(np.float32), slots[order], gain[order].astype(np.float32))
+def _word_model(counts: np.ndarray) -> tuple[np.ndarray, float]:
+    """Log-likelihoods (2, n) by class of words with contexts counts (2, n) (ordinary, toxic), and that of any other word.
+
+    What lies within the discount is replaced by the shared backoff count, which is equal in both classes.
+    """
+    totals = counts.sum(1) + 1e-9
+    shared = counts.sum(0)[None, :] * (totals / totals.sum())[:, None]
+    kept = (np.abs(counts - shared) > WORD_DISCOUNT[0] + WORD_DISCOUNT[1] * np.sqrt(shared)).any(0)
+    like = np.log(counts.sum(0) / totals.sum() + UNIT / totals.sum())
+    own = np.log((counts + BACKOFF_SHARE * shared) / (1 + BACKOFF_SHARE) / totals[:, None] + UNIT / totals.sum())
+    return np.where(kept, own, like), float(np.log(UNIT / totals.sum()))
+
+
+def _speaking(pairs: DataFrame, lean: DataFrame, odds: float) -> DataFrame:
+    """(pair, gain) of the pairs(word, pair, o, t) that depart from what their words lead to expect.
+
+    lean(word, lean): the likelihood ratio of the words that depart from the shared count; all others lean to neither.
+    """
+    tilt, size = F.coalesce("lean", F.lit(1.0)) * odds, F.col("o") + F.col("t")
+    told = pairs.join(small(lean), "word", "left").select("pair", "o", "t", (size / (1 + tilt)).alias("eo"), (size * tilt / (1 + tilt)).alias("et"))
+    beyond = lambda n, e: F.abs(F.col(n) - F.col(e)) > PAIR_DISCOUNT[0] + PAIR_DISCOUNT[1] * F.sqrt(e)
+    own = lambda n, e: F.log(((F.col(n) + BACKOFF_SHARE * F.col(e)) / (1 + BACKOFF_SHARE) + UNIT) / (F.col(e) + UNIT))
+    return told.where(beyond("o", "eo") | beyond("t", "et")).select("pair", (own("t", "et") - own("o", "eo")).alias("gain")).where(F.abs("gain") > 1e-9)
 
 
 def _counted(labelled: DataFrame) -> DataFrame:
-    """(key, n): documents by class, word slot and context, of labelled(text, toxic)."""
+    """(word, pair, o, t): ordinary and toxic documents by word pair, of labelled(text, toxic)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                keys = [np.unique(pair_keys(t.as_py())[1]) | y.as_py() << (WORD_BITS + CONTEXT_BITS) for t, y in zip(part.column("text"), part.column("toxic"), strict=True)]
-                key, n = np.unique(np.concatenate(keys), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], ["key", "n"])
-
-    return small_batches(labelled).select("text", "toxic").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+                words, pairs, toxic = [], [], []
+                for t, y in zip(part.column("text"), part.column("toxic"), strict=True):
+                    word, pair = pair_keys(t.as_py())
+                    pair, first = np.unique(pair, return_index=True)
+                    words.append(word[first])
+                    pairs.append(pair)
+                    toxic.append(np.full(len(pair), y.as_py(), np.int64))
+                pair, first, where = np.unique(np.concatenate(pairs), return_index=True, return_inverse=True)
+                t = np.bincount(where, np.concatenate(toxic), len(pair)).astype(np.int64)
+                o = np.bincount(where, minlength=len(pair)).astype(np.int64) - t
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(words)[first], pair, o, t)], ["word", "pair", "o", "t"])
+
+    counts = small_batches(labelled).select("text", "toxic").mapInArrow(run, "word long, pair long, o long, t long")
+    return counts.groupBy("word", "pair").agg(F.sum("o").alias("o"), F.sum("t").alias("t"))
 
 
 def _fold(doc_id: Column) -> Column:
@@ -161,29 +174,29 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """The model of labels(doc_id, toxic) on docs(doc_id, text), from rows outside the held-out fold.
 
-    Folds 1 to 3 of crc32(doc_id) mod 5 are counted, fold 4 calibrates, fold 0 is never read. The counts
-    reach the driver summed by slot: at most 2^WORD_BITS + PAIR_SLOTS rows, however large the corpus.
+    Folds 1 to 3 of crc32(doc_id) mod 5 are counted, fold 4 calibrates, fold 0 is never read. The driver
+    takes one row per distinct word and one per pair that speaks for a class; all other pairs stay in Spark.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic")).where(_fold(F.col("doc_id")) != 0)
     joined = docs.select("doc_id", "text").join(small(known), "doc_id")
     count = _counted(joined.where(_fold(F.col("doc_id")) != 4))
-    side, word = F.shiftright("key", WORD_BITS + CONTEXT_BITS), F.shiftright("key", CONTEXT_BITS).bitwiseAND((1 << WORD_BITS) - 1)
-    pair = F.col("key").bitwiseAND((1 << (WORD_BITS + CONTEXT_BITS)) - 1)
-    slot = pair % PAIR_SLOTS
-    n = F.col("n")
-    # Both read n, so that one exchange of the counts serves both.
-    met = F.when(n > 0, 1).otherwise(0)
-    by_word = count.groupBy(word.alias("at")).agg(F.sum(F.when(side == 0, met).otherwise(0)).alias("o"), F.sum(F.when(side == 1, met).otherwise(0)).alias("t"), F.lit(-1).cast("long").alias("word"))
-    by_pair = count.groupBy(slot.alias("at")).agg(F.sum(F.when(side == 0, n).otherwise(0)).alias("o"), F.sum(F.when(side == 1, n).otherwise(0)).alias("t"), F.min(word).alias("word"))
-    # A pair below the least discount in total cannot speak for a class.
-    rows = by_word.union(by_pair.where(F.col("o") + F.col("t") > PAIR_DISCOUNT[0])).toArrow().to_pandas()
-    single = rows[rows.word < 0]
-    words = np.zeros((2, 1 << WORD_BITS))
-    words[0, single["at"]], words[1, single["at"]] = single["o"], single["t"]
-    if not words[0].any() or not words[1].any():
+    met = lambda n: F.sum(F.when(F.col(n) > 0, 1).otherwise(0)).alias(n)
+    by_word = count.groupBy("word").agg(F.lit(None).cast("long").alias("pair"), met("o"), met("t"))
+    # A pair below the least discount in total cannot speak for a class. Both read o and t, so that one exchange serves both.
+    rows = checkpointed(by_word.select("word", "pair", "o", "t").union(count.where(F.col("o") + F.col("t") > PAIR_DISCOUNT[0])))
+    single = rows.where("pair is null").select("word", "o", "t").toArrow()
+    word, counts = single["word"].to_numpy(), np.stack([single["o"].to_numpy(), single["t"].to_numpy()]).astype(float)
+    if not counts[0].any() or not counts[1].any():
         return None
-    double = rows[rows.word >= 0]
-    model = _model(words, double["at"].to_numpy(np.int64), double["word"].to_numpy(np.int64), np.stack([double["o"].to_numpy(float), double["t"].to_numpy(float)]))
+    order = np.argsort(word)
+    word, counts = word[order], counts[:, order]
+    (ordinary, toxic), unknown = _word_model(counts)
+    leans = np.flatnonzero(ordinary != toxic)
+    lean = docs.sparkSession.createDataFrame(pa.table({"word": word[leans], "lean": np.exp(toxic - ordinary)[leans]}))
+    speaking = _speaking(rows.where("pair is not null"), lean, float((counts[1].sum() + 1e-9) / (counts[0].sum() + 1e-9))).toArrow()
+    pair, gain = speaking["pair"].to_numpy(), speaking["gain"].to_numpy()
+    order = np.argsort(pair)
+    model = Model(word, toxic.astype(np.float32), ordinary.astype(np.float32), unknown, pair[order], gain[order].astype(np.float32))
     held = known.where(_fold(F.col("doc_id")) == 4)
     share = min(1.0, CALIBRATION_ROWS / max(1, held.count()))
     held = held.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))

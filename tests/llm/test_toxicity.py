@@ -70,3 +70,17 @@ def test_toxic_rows_go_and_columns_stay(spark):
 
 def test_words_ignore_case_and_punctuation():
     assert (word_hashes("Scum, scum!") == word_hashes("scum SCUM")).all() and len(word_hashes(None)) == 0
+
+
+def test_a_rare_toxic_word_shares_its_count_with_no_other(spark):
+    r = random.Random(4)
+    slot = lambda w: zlib.crc32(w.encode()) & (1 << 18) - 1
+    at = slot("common")
+    rare = next(w for i in range(10_000_000) if slot(w := f"rare{i}") == at)
+    vocab = [f"word{i}" for i in range(200)]
+    texts = [" ".join(x for _ in range(30) for x in (r.choice(vocab), "common")) for _ in range(600)]
+    labels = [(i, 1, int(i % 6 == 0)) for i in range(600)]
+    texts = [f"{t} {r.choice(vocab)} {rare} {r.choice(vocab)}" if y else t for t, (_, _, y) in zip(texts, labels, strict=True)]
+    model = fit(documents(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    lean = lambda w: model.features(w)[2]
+    assert lean(rare) > 2 and abs(lean("common")) < 0.5
