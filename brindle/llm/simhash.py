@@ -11,8 +11,9 @@ the whole fingerprints: a vantage point splits the rest at the median distance,
 of the boundary are also looked up from the other side, and all else is pruned by the triangle bound. A shard
 emits a spanning forest of its links, never its pairs, and the links are closed by connected components.
 
-With bands given, fingerprints are wider and each band is a fixed choice of bits in place of a block: that
-finds pairs at larger radii, where no exact partition exists, with the probability stated at near_groups.
+At larger radii blocks are too narrow to part anything. Then the nodes are dealt to groups of about GROUP_ROWS
+at most, and every two groups are one shard, in which all pairs are compared: exact at any radius, with work
+that grows with the square of the number of distinct fingerprints.
 
 Null and empty texts have the fingerprint zero, linked like any other. Rows are never dropped: copies of a
 row each appear in the result; a null doc_id is fingerprinted, but names no component.
@@ -20,7 +21,6 @@ row each appear in the result; a null doc_id is fingerprinted, but names no comp
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -131,6 +131,43 @@ def tree_links(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]
     return child, np.array([sets.parent[i] for i in child.tolist()], np.int64)
 
 
+def _stars(x: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The links (x, y) among 0 .. n - 1 as stars."""
+    # Each row takes the least number that its links lead to; a star around that row stands for all pairs.
+    least = np.arange(n)
+    while len(x):
+        before = least.copy()
+        np.minimum.at(least, y, least[x])
+        np.minimum.at(least, x, least[y])
+        least = least[least]
+        if (before == least).all():
+            break
+    child = np.flatnonzero(least != np.arange(n))
+    return child, least[child]
+
+
+def all_pairs(prints: np.ndarray, cut: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stars, as index pairs, of the links of prints[:cut] with prints[cut:]; cut 0: of all prints with one another."""
+    found, held, end = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0, cut or len(prints)
+    columns = [np.ascontiguousarray(prints[:, w]) for w in range((prints.shape[1] + 1) // 2)]
+    for i in range(0, end, 128):
+        for j in range(cut or i, len(prints), 1024):
+            # What half of the bits differ in is a lower bound, and leaves few pairs to be compared in full.
+            low = sum(np.bitwise_count(c[i : min(i + 128, end), None] ^ c[None, j : j + 1024]).astype(np.uint16) for c in columns)
+            x, y = np.nonzero(low <= radius)
+            x, y = x + i, y + j
+            near = _distance(prints[x], prints[y]) <= radius
+            if not cut:
+                near &= x < y
+            if near.any():
+                found.append((x[near], y[near]))
+                held += int(near.sum())
+            if held > 2_000_000:
+                found = [_stars(*(np.concatenate(c) for c in zip(*found, strict=True)), len(prints))]
+                held = len(found[0][0])
+    return _stars(*(np.concatenate(c) for c in zip(*found, strict=True)), len(prints))
+
+
 def _shard_links(key: np.ndarray, prints: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links within the runs of equal key."""
     edge = np.flatnonzero(np.diff(key)) + 1
@@ -146,18 +183,9 @@ def _shard_links(key: np.ndarray, prints: np.ndarray, node: np.ndarray, radius:
             break
         pairs.append((left := left[_distance(p[left], p[left + step]) <= radius], left + step))
     x, y = (np.concatenate(c) for c in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    # Each row takes the least number that its links lead to; a star around that row stands for all pairs.
-    least = np.arange(len(small))
-    while len(x):
-        before = least.copy()
-        np.minimum.at(least, y, least[x])
-        np.minimum.at(least, x, least[y])
-        least = least[least]
-        if (before == least).all():
-            break
-    child = np.flatnonzero(least != np.arange(len(small)))
+    child, least = _stars(x, y, len(small))
     a.append(node[small[child]])
-    b.append(node[small[least[child]]])
+    b.append(node[small[least]])
     for s, e in zip(start.tolist(), end.tolist(), strict=True):
         if e - s > LEAF:
             x, y = tree_links(prints[s:e], radius)
@@ -166,16 +194,14 @@ def _shard_links(key: np.ndarray, prints: np.ndarray, node: np.ndarray, radius:
     return np.concatenate(a), np.concatenate(b)
 
 
-def links(nodes: DataFrame, words: int, radius: int, masks: list[list[int]] | None = None) -> DataFrame:
+def links(nodes: DataFrame, words: int, radius: int) -> DataFrame:
     """(a, b) of nodes(node, f0, ...) that differ in at most radius bits: links that span each shard's groups.
 
-    masks: the bit numbers of each band; none: radius + 1 blocks, which miss no pair.
+    There are radius + 1 blocks, which miss no pair.
     """
-    bits = 64 * words
-    if masks is None:
-        blocks = radius + 1
-        cuts = [bits * i // blocks for i in range(blocks + 1)]
-        masks = [list(range(x, y)) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+    bits, blocks = 64 * words, radius + 1
+    cuts = [bits * i // blocks for i in range(blocks + 1)]
+    masks = [list(range(x, y)) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
     names = [f"f{i}" for i in range(words)]
 
     def value(mask: list[int]):
@@ -210,36 +236,72 @@ def links(nodes: DataFrame, words: int, radius: int, masks: list[list[int]] | No
     return dealt.mapInArrow(run, "a long, b long")
 
 
+#: Groups of nodes that all pairs are compared by: as many at least, and of about so many rows at most.
+LEAST_GROUPS, GROUP_ROWS = 16, 65_536
+
+
+def wide_links(nodes: DataFrame, words: int, radius: int) -> DataFrame:
+    """The same as links, by comparing all pairs: every two groups of nodes are one shard."""
+    names = [f"f{i}" for i in range(words)]
+    groups = max(LEAST_GROUPS, -(-nodes.count() // GROUP_ROWS))
+    group = nodes.select(F.pmod(F.xxhash64("node"), F.lit(groups)).alias("own"), *names, "node")
+    shards = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: F.least(g, F.col("own")) * groups + F.greatest(g, F.col("own")))
+    dealt = group.select(F.explode(shards).alias("shard"), "own", *names, "node").repartition("shard").sortWithinPartitions("shard", "own", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        at = -1
+
+        def linked() -> pa.RecordBatch:
+            own, prints, node = (np.concatenate(x) for x in zip(*kept, strict=True))
+            first, last = divmod(at, groups)
+            cut = 0 if first == last else int(np.searchsorted(own, last))
+            # Rows of only one of two groups have met each other in that group's own shard.
+            a, b = all_pairs(prints, cut, radius) if first == last or 0 < cut < len(own) else (np.zeros(0, np.int64),) * 2
+            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+
+        for batch in batches:
+            c = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("shard", "own", *names, "node")}
+            prints = np.stack([c[n] for n in names], 1).astype(np.int64).view(np.uint64)
+            edges = [0, *(np.flatnonzero(np.diff(c["shard"])) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
+            for x, y in zip(edges[:-1], edges[1:], strict=True):
+                if kept and c["shard"][x] != at:
+                    yield linked()
+                    kept = []
+                at = int(c["shard"][x])
+                kept.append((c["own"][x:y], prints[x:y], c["node"][x:y]))
+        if kept:
+            yield linked()
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def grouped(docs: DataFrame, width: int = 3, radius: int = 3, seeds: tuple[int, ...] = (SEED,), wide: bool = False, masks: list[list[int]] | None = None) -> DataFrame:
+def grouped(docs: DataFrame, width: int = 3, radius: int = 3, seeds: tuple[int, ...] = (SEED,), wide: bool = False) -> DataFrame:
     """(doc_id, f0, ..., component_id) of docs(doc_id, text); the smallest doc_id reachable by links."""
     n = n_words(seeds, wide)
     names = [f"f{i}" for i in range(n)]
     prints = checkpointed(fingerprints(docs, width, seeds, wide))
     nodes = prints.groupBy(*names).agg(F.min("doc_id").alias("node"))
-    found = connected_components(links(nodes.where("node is not null"), n, radius, masks))
+    found = connected_components((wide_links if wide else links)(nodes.where("node is not null"), n, radius))
     named = nodes.join(found, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
     return prints.join(named, names)
 
 
-#: Wide fingerprints: 256 bits, of two seeds, and 64 bands of 16 bits each.
-WIDE_SEEDS, BANDS, BAND_BITS = (42, 43), 64, 16
+#: Wide fingerprints: 256 bits, of two seeds.
+WIDE_SEEDS = (42, 43)
 
 
 def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, f0, ..., f3, component_id): groups of texts whose fingerprints agree in similarity of their bits.
 
-    At such a radius no partition of the Hamming space is exact and small, so that shards are bands: fixed
-    random choices of BAND_BITS of the bits. A pair that agrees in 85 % of its bits meets in some band with
-    a probability of about 0.99, one that agrees in 90 % with 0.9999.
+    At such a radius no partition of the Hamming space is exact and small, so that all pairs of distinct
+    fingerprints are compared: every pair within the radius is found, and the work grows with their square.
     """
-    pick = random.Random(SEED)
-    bits = 64 * n_words(WIDE_SEEDS, True)
-    masks = [sorted(pick.sample(range(bits), BAND_BITS)) for _ in range(BANDS)]
-    return grouped(docs, width, int(bits * (1 - similarity) + 1e-9), WIDE_SEEDS, True, masks)
+    return grouped(docs, width, int(64 * n_words(WIDE_SEEDS, True) * (1 - similarity) + 1e-9), WIDE_SEEDS, True)
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import xxhash
 
 from brindle.llm.common import connected_components
-from brindle.llm.simhash import drop_near_copies, fingerprint, op9_simhash, tree_links
+from brindle.llm.simhash import drop_near_copies, fingerprint, near_groups, op9_simhash, tree_links
 
 from .helpers import AWKWARD, documents, save
 
@@ -88,3 +88,22 @@ def test_near_copies_go_and_others_stay(spark):
 
 def test_empty_texts_have_the_zero_fingerprint():
     assert fingerprint(None) == fingerprint(" \n") == [0]
+
+
+def test_every_pair_at_the_radius_itself_is_found(spark):
+    r = random.Random(12)
+    texts = []
+    for _ in range(120):
+        words = [f"v{r.randint(0, 5000)}" for _ in range(200)]
+        texts.append(" ".join(words))
+        for at in r.sample(range(200), r.randint(5, 9)):
+            words[at] = "changed"
+        texts.append(" ".join(words))
+    prints = [sum((x & (1 << 64) - 1) << 64 * k for k, x in enumerate(fingerprint(t, 5, (42, 43), True))) for t in texts]
+    pairs = [(a, b) for b in range(len(texts)) for a in range(b) if (prints[a] ^ prints[b]).bit_count() <= 51]
+    assert sum((prints[a] ^ prints[b]).bit_count() >= 44 for a, b in pairs) > 20
+    group = list(range(len(texts)))
+    for a, b in pairs:
+        old, new = max(group[a], group[b]), min(group[a], group[b])
+        group = [new if g == old else g for g in group]
+    assert {x.doc_id: x.component_id for x in near_groups(documents(spark, texts)).collect()} == dict(enumerate(group))
