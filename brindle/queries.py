@@ -207,6 +207,13 @@ def join_nan_keys(spark: SparkSession, d: str) -> DataFrame:
     return joins.compose(e, e, joins.JoinSpec((("v", "v"),), right_alias="f")).drop("v")
 
 
+@query("SELECT e.event_id, n FROM events e JOIN (SELECT value, count(*) AS n FROM events WHERE event_id % 3 <> 0 GROUP BY value) f ON e.value = f.value WHERE e.event_id % 3 <> 0")
+def join_nan_keys_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All events; the other side is one row per value, NaN included, so that the result grows with the table."""
+    e = t(spark, d, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("v"))
+    return joins.compose(e, e.groupBy("v").agg(F.count("*").alias("n")), joins.JoinSpec((("v", "v"),))).select("event_id", "n")
+
+
 _STATS = f"""WITH o AS {_ORDERS}, c AS {_CUSTOMERS}, l AS (SELECT k, count(*) AS ln FROM o WHERE k IS NOT NULL GROUP BY 1), r AS (SELECT c_custkey AS k, count(*) AS rn FROM c GROUP BY 1),
 m AS (SELECT k, coalesce(ln, 0) AS ln, coalesce(rn, 0) AS rn FROM l FULL JOIN r USING (k))"""
 

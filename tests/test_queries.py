@@ -44,3 +44,9 @@ def test_query(spark, duck, name):
 def test_query_without_sql_runs_and_repeats(spark, name):
     once, twice = (sorted(map(str, QUERIES[name](spark, str(DATA)).collect())) for _ in range(2))
     assert once and once == twice
+
+
+def test_nan_keys_are_joined_over_all_events(spark):
+    ids = {r.event_id for r in spark.read.parquet(f"{DATA}/events.parquet").where("event_id % 3 <> 0").select("event_id").collect()}
+    got = [r.event_id for r in QUERIES["join_nan_keys_whole"](spark, str(DATA)).collect()]
+    assert len(got) == len(ids) and set(got) == ids
