@@ -436,6 +436,13 @@ def union_by_name(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True)
 
 
+@query("SELECT c_custkey AS k, c_name AS n, NULL AS s FROM customer UNION ALL SELECT s_suppkey, NULL, s_name FROM supplier")
+def union_by_name_whole(spark: SparkSession, d: str) -> DataFrame:
+    a = t(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("n"))
+    b = t(spark, d, "supplier").select(F.col("s_name").alias("s"), F.col("s_suppkey").alias("k"))
+    return a.unionByName(b, allowMissingColumns=True)
+
+
 # -- A: sources and sinks, by round trips
 
 

@@ -50,3 +50,8 @@ def test_nan_keys_are_joined_over_all_events(spark):
     ids = {r.event_id for r in spark.read.parquet(f"{DATA}/events.parquet").where("event_id % 3 <> 0").select("event_id").collect()}
     got = [r.event_id for r in QUERIES["join_nan_keys_whole"](spark, str(DATA)).collect()]
     assert len(got) == len(ids) and set(got) == ids
+
+
+def test_whole_tables_are_united(spark):
+    rows = sum(spark.read.parquet(f"{DATA}/{x}.parquet").count() for x in ("customer", "supplier"))
+    assert QUERIES["union_by_name_whole"](spark, str(DATA)).count() == rows > 98
