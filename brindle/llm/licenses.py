@@ -110,6 +110,51 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"), F.array_join(names, ",").alias("licenses"), F.round(F.coalesce(F.array_max(F.transform("matches", lambda m: m["dice"])), F.lit(0.0)), 9).alias("best_dice"))
 
 
+def runs(text: Column, threshold: float = THRESHOLD, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> Column:
+    """array<struct<license, dice>>: of each template, the best run of two or more lines of text that comes up to it."""
+    none = F.array().cast("array<bigint>")
+    worded = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.filter(F.split(F.lower(x), "[^a-z0-9]+"), lambda w: w != "")), lambda w: F.size(w) > 0)
+    pairs = lambda w: F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.xxhash64(F.get(w, i), x))
+    # Of each line: its own bigrams, and the one that leads to it from the line before.
+    lines = _let(worded, lambda ws: F.transform(ws, lambda w, i: F.struct(pairs(w).alias("own"), F.when(i > 0, F.array(F.xxhash64(F.element_at(F.get(ws, i - 1), -1), F.get(w, F.lit(0))))).otherwise(none).alias("before"))))
+
+    def one(found: Column, text_bigrams: Column, name: str, b: list[str]) -> Column:
+        known = F.array(*(F.xxhash64(*(F.lit(w) for w in x.split(" "))) for x in b))
+        most = len(b) * (2 - threshold) / threshold + 1e-9
+
+        def step(state: Column, line: Column) -> Column:
+            own = F.array_union(state["own"], F.concat(line["before"], line["own"]))
+            dice = lambda o: 2.0 * F.size(F.array_intersect(o, known)) / (F.size(o) + len(b))
+            # A run only grows: once it has too many bigrams, none that begins there comes up any more.
+            return F.when(F.size(state["own"]) > most, state).otherwise(_let(own, lambda o: F.struct(o.alias("own"), F.greatest(state["best"], dice(o)).alias("best"))))
+
+        def best_from(i: Column) -> Column:
+            start = F.struct(F.array_distinct(F.get(found, i)["own"]).alias("own"), F.lit(0.0).alias("best"))
+            return F.aggregate(F.slice(found, i + 2, F.size(found)), start, step, lambda state: state["best"])
+
+        # A first line that shares nothing with the template, and leads to nothing shared, only lowers the coefficient.
+        begins = F.filter(F.sequence(F.lit(0), F.size(found) - 2), lambda i: F.arrays_overlap(F.concat(F.get(found, i)["own"], F.get(found, i + 1)["before"]), known))
+        best = _let(F.array_max(F.transform(begins, best_from)), lambda d: F.when(d >= threshold - 1e-9, F.struct(F.lit(name).alias("license"), d.alias("dice"))))
+        # To come up to the threshold, a run shares so many of the template's bigrams at least; so does its text.
+        return F.when(F.size(F.array_intersect(text_bigrams, known)) >= len(b) * threshold / (2 - threshold) - 1e-9, best)
+
+    def compared(found: Column) -> Column:
+        every = F.array_distinct(F.flatten(F.transform(found, lambda x: F.concat(x["before"], x["own"]))))
+        known = [(name, template_bigrams(t)) for name, t in templates]
+        of_any = F.array(*(F.xxhash64(*(F.lit(w) for w in x.split(" "))) for x in sorted({x for _, b in known for x in b})))
+        return _let(F.array_intersect(every, of_any), lambda shared: F.filter(F.array(*(one(found, shared, n, b) for n, b in known)), lambda m: m.isNotNull()))
+
+    return _let(lines, lambda found: F.when(F.size(found) > 1, compared(found)).otherwise(F.array().cast("array<struct<license:string,dice:double>>")))
+
+
+def op5_license_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op5_licenses, with notices that take several lines of a longer text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = docs.select("doc_id", matches(F.col("text")).alias("m"), runs(F.col("text")).alias("r")).select("doc_id", F.size("r").cast("long").alias("n_runs"), F.concat("m", "r").alias("all"))
+    names = F.array_sort(F.array_distinct(F.transform("all", lambda m: m["license"])))
+    return found.select("doc_id", "n_runs", F.array_join(names, ",").alias("licenses"), F.round(F.coalesce(F.array_max(F.transform("all", lambda m: m["dice"])), F.lit(0.0)), 9).alias("best_dice"))
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
