@@ -174,12 +174,17 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """The model of labels(doc_id, toxic) on docs(doc_id, text), from rows outside the held-out fold.
 
-    Folds 1 to 3 of crc32(doc_id) mod 5 are counted, fold 4 calibrates, fold 0 is never read. The driver
+    Of fold 4 of crc32(doc_id) mod 5 about CALIBRATION_ROWS rows at most calibrate; all other rows of folds 1
+    to 4 are counted, and fold 0 is never read. The driver
     takes one row per distinct word and one per pair that speaks for a class; all other pairs stay in Spark.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic")).where(_fold(F.col("doc_id")) != 0)
     joined = docs.select("doc_id", "text").join(small(known), "doc_id")
-    count = _counted(joined.where(_fold(F.col("doc_id")) != 4))
+    fold = _fold(F.col("doc_id"))
+    share = min(1.0, CALIBRATION_ROWS / max(1, known.where(fold == 4).count()))
+    calibrates = (fold == 4) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    held = known.where(calibrates)
+    count = _counted(joined.where(~calibrates))
     met = lambda n: F.sum(F.when(F.col(n) > 0, 1).otherwise(0)).alias(n)
     by_word = count.groupBy("word").agg(F.lit(None).cast("long").alias("pair"), met("o"), met("t"))
     # A pair below the least discount in total cannot speak for a class. Both read o and t, so that one exchange serves both.
@@ -197,9 +202,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     pair, gain = speaking["pair"].to_numpy(), speaking["gain"].to_numpy()
     order = np.argsort(pair)
     model = Model(word, toxic.astype(np.float32), ordinary.astype(np.float32), unknown, pair[order], gain[order].astype(np.float32))
-    held = known.where(_fold(F.col("doc_id")) == 4)
-    share = min(1.0, CALIBRATION_ROWS / max(1, held.count()))
-    held = held.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     seen = measured(docs.select("doc_id", "text").join(small(held), "doc_id"), model, "toxic int").select("mean", "window", "toxic").toArrow().to_pandas()
     if seen.toxic.nunique() == 2:
         model.curve = _logistic(seen[["mean", "window"]].to_numpy(), seen.toxic.to_numpy(float))

@@ -1,6 +1,7 @@
 import random
 import zlib
 
+from brindle.llm import toxicity
 from brindle.llm.toxicity import drop_toxic, fit, op8_toxicity, word_hashes
 
 from .helpers import AWKWARD, documents, save
@@ -84,3 +85,14 @@ def test_a_rare_toxic_word_shares_its_count_with_no_other(spark):
     model = fit(documents(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     lean = lambda w: model.features(w)[2]
     assert lean(rare) > 2 and abs(lean("common")) < 0.5
+
+
+def test_rows_beyond_the_calibration_sample_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "CALIBRATION_ROWS", 20)
+    texts, labels = corpus(300)
+    fourth = [i for i in range(300) if folds(i) == 4]
+    texts = [f"{t} only{i}" for i, t in enumerate(texts)]
+    model = fit(documents(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    counted = [i for i in fourth if word_hashes(f"only{i}")[0] in model.words]
+    assert 0 < len(fourth) - len(counted) < 40 and counted
+    assert all((word_hashes(f"only{i}")[0] in model.words) == (folds(i) != 0) for i in range(300) if folds(i) != 4)
