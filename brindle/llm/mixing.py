@@ -6,7 +6,9 @@
    through the cumulative slot counts of the sources; every stretch of the schedule holds each source in
    close to its share, and the whole holds it exactly. A source's slots are ranked in schedule order.
 3. Blocks: a source's documents, in the order of a seeded hash, form one stream of tokens, cut into blocks
-   of equally many; the slot of rank r takes block r mod the number of blocks.
+   of equally many; the slot of rank r takes block r mod the number of blocks. A block holds BLOCK_TOKENS at
+   most and no more than a FINENESS-th of its source and of its target, so that what a small source takes
+   lies as near its target as whole words allow.
 
 A document takes what its blocks take: its tokens within a block, times the turns of that block. Ranks and
 running sums are taken within buckets of a hash or of the schedule and then shifted by the sums of the
@@ -28,7 +30,7 @@ from brindle.llm.common import checkpointed, free_name, small, table
 
 WEIGHTS = (3, 1, 2)
 SHARE, REPEATS = 1.5, 2
-BLOCK_TOKENS = 128
+BLOCK_TOKENS, FINENESS = 128, 64
 SEED = 17
 #: Rows that a bucket of documents, and slots that a stretch of the schedule, hold on average.
 BUCKET_ROWS = 4096
@@ -58,9 +60,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
         .withColumn("full", F.coalesce(F.sum("cap").over(before), F.lit(0)))
         .withColumn("open", F.sum("w").over(everyone) - F.coalesce(F.sum("w").over(before), F.lit(0)))
         .withColumn("level", (F.col("budget") - F.col("full")) / F.col("open"))
+        .withColumn("turn", F.row_number().over(rising))
     )
     # The level is the first that its own source does not overtake; all sources before it are capped.
-    level = F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.struct(F.col("cap") / F.col("w"), F.col("level")))).over(everyone)["level"]
+    level = F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.struct("turn", "level"))).over(everyone)["level"]
     return filled.withColumn("at", level).select("source", "source_size", "n", F.least(F.col("cap").cast("double"), F.coalesce(F.col("at"), F.lit(0.0)) * F.col("w")).alias("target"))
 
 
@@ -72,13 +75,15 @@ def _reversed_bits(number: Column, bits: int) -> Column:
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, sources, schedule) of docs(doc_id, text, source).
 
-    rows: doc_id, source, size, place, start (tokens of its source before it); sources: source, id,
-    source_size, target, blocks, slots; schedule: slot, id, rank, block.
+    rows: doc_id, source, size, place, start (tokens of its source before it), cut (tokens of its source's
+    blocks); sources: source, id, source_size, target, block, blocks, slots; schedule: slot, id, rank, block.
     """
     rows = checkpointed(sized(docs))
     by_source = targets(rows, weights, share, repeats)
+    finest = F.floor(F.least(F.col("source_size").cast("double"), F.col("target")) / FINENESS)
+    counted = by_source.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block_tokens), finest)).cast("long")).withColumn("blocks", F.ceil(F.col("source_size") / F.col("block")))
     # A source at its cap takes every block, the short last one included, as often as is allowed.
-    counted = by_source.withColumn("blocks", F.ceil(F.col("source_size") / block_tokens)).withColumn("slots", F.when(F.col("target") >= F.col("source_size") * repeats, F.col("blocks") * repeats).otherwise(F.least(F.round(F.col("target") / block_tokens).cast("long"), F.col("blocks") * repeats)))
+    counted = counted.withColumn("slots", F.when(F.col("target") >= F.col("source_size") * repeats, F.col("blocks") * repeats).otherwise(F.least(F.round(F.col("target") / F.col("block")).cast("long"), F.col("blocks") * repeats)))
     order = Window.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))
     sources = checkpointed(counted.withColumn("id", F.row_number().over(order)).withColumn("upto", F.sum("slots").over(order)))
     return _streams(rows, sources), sources, _schedule(sources)
@@ -86,7 +91,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHA
 
 def _streams(rows: DataFrame, sources: DataFrame) -> DataFrame:
     # The hash is spread evenly, so that equal ranges of it hold about BUCKET_ROWS rows of a source each.
-    known = small(sources.select(F.col("source").alias("s"), "id", F.ceil(F.col("n") / BUCKET_ROWS).alias("buckets")))
+    known = small(sources.select(F.col("source").alias("s"), "id", F.col("block").alias("cut"), F.ceil(F.col("n") / BUCKET_ROWS).alias("buckets")))
     keyed = rows.join(known, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     share = F.shiftrightunsigned("place", 32)
     keyed = keyed.withColumn("bucket", F.shiftright(share * F.col("buckets"), 32))
@@ -95,7 +100,7 @@ def _streams(rows: DataFrame, sources: DataFrame) -> DataFrame:
     offset = sums.withColumn("offset", F.coalesce(F.sum("in_bucket").over(before), F.lit(0))).drop("in_bucket")
     inside = Window.partitionBy("id", "bucket").orderBy(F.shiftrightunsigned("place", 1), "place", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     local = keyed.withColumn("local", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return local.join(offset, ["id", "bucket"]).select("doc_id", "source", "id", "size", "place", (F.col("offset") + F.col("local")).alias("start"))
+    return local.join(offset, ["id", "bucket"]).select("doc_id", "source", "id", "size", "place", "cut", (F.col("offset") + F.col("local")).alias("start"))
 
 
 def _schedule(sources: DataFrame) -> DataFrame:
@@ -120,8 +125,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     rows, sources, schedule = plan(docs, weights, share, repeats, block_tokens)
     # The planner takes exploded slots for as few as their sources are, and would broadcast them.
     turns = schedule.groupBy("id", "block").agg(F.count("*").alias("turns")).hint("shuffle_merge")
-    cut = rows.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block_tokens), F.floor((F.col("start") + F.col("size") - 1) / block_tokens))))
-    within = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_tokens) - F.greatest("start", F.col("block") * block_tokens)
+    cut = rows.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / F.col("cut")), F.floor((F.col("start") + F.col("size") - 1) / F.col("cut")))))
+    within = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("cut")) - F.greatest("start", F.col("block") * F.col("cut"))
     taken = cut.join(turns, ["id", "block"]).groupBy("id", "start").agg(F.sum(within * F.col("turns")).alias("words"))
     known = small(sources.select("id", "source_size", "target"))
     full = rows.where("size > 0").join(taken.hint("shuffle_merge"), ["id", "start"], "left").unionByName(rows.where("size = 0").withColumn("words", F.lit(0).cast("long")))
@@ -143,4 +148,9 @@ def remix(docs: DataFrame) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row of documents: its size, its source's size and target, and the words that the mix takes of it.
+
+    Null and empty texts have size 0 and take 0; null sources are one source, weighed last; sources without
+    words have target 0; equal rows each get a row, and what their stretch of the stream takes; no rows, no result.
+    """
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

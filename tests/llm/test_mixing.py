@@ -79,3 +79,27 @@ def test_empty_tables_and_sources_without_words(spark, tmp_path):
     assert op10_mixing(spark, save(df.limit(0), tmp_path)).count() == 0
     rows = op10_mixing(spark, save(documents(spark, [None, "", " "]), tmp_path)).collect()
     assert [(r["size"], r.source_size, r.target, r.taken) for r in rows] == [(0, 0, 0.0, 0)] * 3
+
+
+def test_small_sources_come_as_near_their_targets_as_large_ones(spark, tmp_path):
+    texts = [" ".join(f"w{j}" for j in range(1 + i % 5)) for i in range(300)] + [" ".join(["much"] * 200)] * 60 + ["one"]
+    kind = lambda i: f"s{i // 10:02d}" if i < 300 else "big" if i < 360 else None
+    got = {r.doc_id: r for r in op10_mixing(spark, save(documents(spark, texts, source=kind), tmp_path)).collect()}
+    size, taken = defaultdict(int), defaultdict(int)
+    for i, t in enumerate(texts):
+        size[kind(i)] += len(t.split())
+        taken[kind(i)] += got[i].taken
+        assert got[i].taken <= 2 * got[i]["size"]
+    want = brute_targets(size)
+    assert len(want) == 32
+    for s in want:
+        assert abs(taken[s] - want[s]) <= max(1.0, want[s] / 64), s
+
+
+def test_thirty_sources_of_thirty_words(spark, tmp_path):
+    texts = ["five words are in here"] * 180 + [None, "", "five words are in here"]
+    got = op10_mixing(spark, save(documents(spark, texts, source=lambda i: f"s{i % 30:02d}" if i < 180 else "s00"), tmp_path)).collect()
+    taken = defaultdict(int)
+    for r in got:
+        taken[r.target] += r.taken
+    assert abs(sum(r.taken for r in got) - 1.5 * 905) <= 30 and all(v for v in taken.values())
