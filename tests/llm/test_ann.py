@@ -58,3 +58,31 @@ def test_probing_retrieves_every_code_within_the_radius():
     for radius in range(0, 33, 3):
         want = np.flatnonzero(np.bitwise_count(codes ^ codes[7]).sum(1) <= radius)
         assert (index.within(codes[7], radius) == want).all()
+
+
+def test_probing_by_values_and_through_the_index_find_the_same():
+    r = np.random.default_rng(7)
+    codes = (r.integers(0, 65536, (300, 16), dtype=np.uint16))[r.integers(0, 300, 40_000)] ^ (r.integers(0, 2, (40_000, 16), dtype=np.uint16) << r.integers(0, 16, (40_000, 16), dtype=np.uint16))
+    index = Index(codes)
+    for radius in (0, 10, 15, 16, 31, 50, 120):
+        want = np.flatnonzero(np.bitwise_count(codes ^ codes[3]).sum(1) <= radius)
+        assert (index.within(codes[3], radius) == want).all()
+
+
+def test_repeated_query_rows_each_get_all_ranks_and_find_each_other(spark, tmp_path):
+    r = np.random.default_rng(2)
+    x = r.normal(size=(60, 8)).astype(np.float32)
+    own = [float(v) for v in x[20]]
+    other = [float(v) for v in r.normal(size=8).astype(np.float32)]
+    extra = [(20, own, 9), (20, own, 0), (20, other, 0), (7, own, 0)]
+    df = frame(spark, x, extra)
+    got = op7_ann(spark, save(df, tmp_path, "embeddings")).collect()
+    rows = [(i, v) for i, v in enumerate(x.astype(float))] + [(i, np.array(v)) for i, v, _ in extra]
+    want = []
+    for a, (q, v) in enumerate(rows):
+        if q % 20 == 0:
+            best = sorted((-float((w * v).sum()), i) for b, (i, w) in enumerate(rows) if b != a)[:20]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert len(got) == len(want) == 6 * 20
+    for g, w in zip(sorted(map(tuple, got)), sorted(want), strict=True):
+        assert g[:3] == w[:3] and abs(g[3] - w[3]) < 1e-12
