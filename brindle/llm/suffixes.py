@@ -19,12 +19,15 @@ anchor, and the suffix arrays of the buckets hold every match.
                which unit start in a smaller document too.
 4. removal     documents join those windows into spans and keep the rest.
 
-An anchor that more than HOT documents hold is dealt by window instead: units of one window each go to
-buckets by their own hash, so that a passage in a third of all documents spreads. The work is deterministic;
-groups are found again in step 4 as they were in step 2.
+An anchor that more than HOT documents hold, or whose units come to more than HOT_BYTES in all, is dealt by
+window instead: the windows of a group's distinct units go to buckets each by its own hash, so that neither a
+passage in a third of all documents nor one string in countless contexts, in however few documents, makes a
+bucket. An array so holds ARRAY_BYTES and one cold anchor's units at most, far fewer characters than names
+have room for. The work is deterministic; groups are found again in step 4 as they were in step 2.
 
 Texts are their UTF-8 bytes (null: empty); texts under LENGTH bytes lose nothing. Rows of one doc_id are one
-document to each other: none is smaller. A null doc_id is larger than all others. Every row is returned.
+document to each other: none is smaller. A null doc_id is larger than all others. Every row is returned, equal
+rows included; an empty table gives none. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -34,7 +37,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,8 +44,10 @@ from pyspark.sql import functions as F
 from brindle.llm.common import checkpointed, table
 
 LENGTH, K = 50, 16
-#: Windows of a unit; documents that may hold an anchor before it is dealt by window.
-UNIT, HOT = 256, 2000
+#: Windows of a unit; documents that may hold an anchor, and bytes that its units may have, before it is dealt by window.
+UNIT, HOT, HOT_BYTES = 256, 2000, 1 << 20
+#: Names are packed three to a number of 63 bits.
+NAMES = 1 << 21
 #: Bytes of text of a group of documents and of a bucket, and bytes that one suffix array is built of.
 GROUP_BYTES, BUCKET_BYTES, ARRAY_BYTES = 8 << 20, 4 << 20, 1 << 18
 _ONE, _TWO, _THREE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -81,6 +85,8 @@ def ranks(text: np.ndarray, depth: int, wanted: np.ndarray) -> np.ndarray:
     order of those rests on, are sorted and merged; positions that are not wanted have rank 0.
     """
     n, out = len(text), np.zeros(len(text), np.int64)
+    if n >= NAMES - 2:
+        raise ValueError(f"{n} characters are too many for names of 21 bits")
     s = np.concatenate([text, np.zeros(3, np.int64)])
     if depth <= 3:
         at = np.flatnonzero(wanted)
@@ -229,25 +235,51 @@ class _Units:
         self.content: list[bytes] = []
         self.owner: list[int] = []  # number of the first text with the unit
         self.key: list[int] = []
+        self.hot: list[bool] = []
         number, start, count, unit = [], [], [], []
         known: dict[bytes, int] = {}
         for texts_at, first, n, anchor in windows(texts):
             met, hot = shared.find(anchor)
             for i, at, k, a, h in zip(texts_at[met].tolist(), first[met].tolist(), n[met].tolist(), anchor[met].tolist(), hot[met].tolist(), strict=True):
-                for begin, width in [(at + j, 1) for j in range(k)] if h else [(at, k)]:
-                    piece = texts[i][begin : begin + width + LENGTH - 1]
-                    u = known.get(piece)
-                    if u is None:
-                        u = known[piece] = len(self.content)
-                        self.content.append(piece)
-                        self.owner.append(i)
-                        self.key.append(xxhash.xxh64_intdigest(piece) if h else a)
-                    number.append(i)
-                    start.append(begin)
-                    count.append(width)
-                    unit.append(u)
+                piece = texts[i][at : at + k + LENGTH - 1]
+                u = known.get(piece)
+                if u is None:
+                    u = known[piece] = len(self.content)
+                    self.content.append(piece)
+                    self.owner.append(i)
+                    self.key.append(a)
+                    self.hot.append(h)
+                number.append(i)
+                start.append(at)
+                count.append(k)
+                unit.append(u)
         self.number, self.start, self.count, self.unit = (np.array(x, np.int64) for x in (number, start, count, unit))
 
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """The windows of the hot units, unit by unit: the unit, and the place in it."""
+        hot = np.flatnonzero(np.array(self.hot, bool))
+        n = np.array([len(self.content[u]) for u in hot.tolist()], np.int64) - LENGTH + 1
+        return np.repeat(hot, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+    def window_bytes(self, of: np.ndarray, at: np.ndarray):
+        """A function from numbers of those windows to their bytes, a row of LENGTH each."""
+        hot = np.unique(of)
+        text = b"".join([self.content[u] for u in hot.tolist()])
+        size = np.array([len(self.content[u]) for u in hot.tolist()], np.int64)
+        first = (np.cumsum(size) - size)[np.searchsorted(hot, of)] + at
+        rows = np.ndarray((max(0, len(text) - LENGTH + 1), LENGTH), np.uint8, text, strides=(1, 1))
+        return lambda which: rows[first[which]]
+
+
+def _window_keys(rows: np.ndarray) -> np.ndarray:
+    """A hash of each row of LENGTH bytes."""
+    word = np.ascontiguousarray(np.pad(rows, ((0, 0), (0, -LENGTH % 8)))).view("<u8")
+    h = np.full(len(rows), _THREE)
+    for j in range(word.shape[1]):
+        h = (h ^ word[:, j]) * _ONE
+        h ^= h >> np.uint64(32)
+    return _mixed(h * _TWO)
+
 
 # -- the steps ---------------------------------------------------------------------------------------------
 
@@ -271,49 +303,54 @@ def _cuts(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _tell_anchors(docs: DataFrame, bits: int) -> DataFrame:
-    """(bucket, groups, lengths, values): the anchors of each batch of docs(g, text), a row per bucket."""
+    """(bucket, groups, lengths, values, sizes): the anchors of each batch of docs(g, text), a row per bucket.
+
+    sizes: of each anchor, the bytes that its units have in that document, as a power of two that is no less.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             group = batch.column("g").to_numpy()
-            held, code = [], []
-            for i, _, _, anchor in windows([x or b"" for x in batch.column("text").to_pylist()]):
+            held, code, size = [], [], []
+            for i, _, n, anchor in windows([x or b"" for x in batch.column("text").to_pylist()]):
                 c = anchor >> np.uint64(32 - bits)
                 order = np.lexsort((c, i))
                 i, c = i[order], c[order]
-                once = np.concatenate([[True], (c[1:] != c[:-1]) | (i[1:] != i[:-1])])
+                once = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (i[1:] != i[:-1])]))
                 held.append(group[i[once]])
                 code.append(c[once])
+                size.append(np.ceil(np.log2(np.add.reduceat(n[order] + LENGTH - 1, once))).astype(np.uint8))
             if not code:
                 continue
-            g, c = np.concatenate(held), np.concatenate(code)
+            g, c, size = np.concatenate(held), np.concatenate(code), np.concatenate(size)
             bucket = (c >> np.uint64(32)).astype(np.int64)
             order = np.lexsort((c, g, bucket))
-            g, c, bucket = g[order], c[order], bucket[order]
+            g, c, size, bucket = g[order], c[order], size[order], bucket[order]
             rows = []
             for a, b in zip(*_cuts(bucket), strict=True):
                 x, y = _cuts(g[a:b])
-                rows.append((int(bucket[a]), g[a:b][x].astype(np.int64).tobytes(), (y - x).astype(np.int64).tobytes(), c[a:b].astype(np.uint32).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "groups", "lengths", "values"])
+                rows.append((int(bucket[a]), g[a:b][x].astype(np.int64).tobytes(), (y - x).astype(np.int64).tobytes(), c[a:b].astype(np.uint32).tobytes(), size[a:b].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 4), strict=True)], ["bucket", "groups", "lengths", "values", "sizes"])
 
-    return docs.select("g", "text").mapInArrow(run, "bucket long, groups binary, lengths binary, values binary")
+    return docs.select("g", "text").mapInArrow(run, "bucket long, groups binary, lengths binary, values binary, sizes binary")
 
 
 def _told_table(g, bucket, b0, b1, b2) -> pa.Table:
     return pa.table([pa.array(g, pa.int64()), pa.array(bucket, pa.int64()), *(pa.array(x, pa.binary()) for x in (b0, b1, b2))], ["g", "bucket", "b0", "b1", "b2"])
 
 
-def _share(data: pa.Table, hot_docs: int) -> pa.Table:
+def _share(data: pa.Table, hot_docs: int, hot_bytes: int) -> pa.Table:
     """Of one bucket: to each group of documents, those of its anchors that at least two documents hold."""
     joined = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in data.column(name).to_pylist()])
     value = joined("values", np.uint32)
     group = np.repeat(joined("groups", np.int64), joined("lengths", np.int64))
     order = np.lexsort((group, value))
-    value, group = value[order], group[order]
+    value, group, size = value[order], group[order], np.exp2(joined("sizes", np.uint8)[order])
     a, b = _cuts(value)
     held = np.repeat(b - a, b - a)
+    heavy = np.repeat(np.add.reduceat(size, a) > hot_bytes, b - a) if len(a) else np.zeros(0, bool)
     keep = (held > 1) & np.concatenate([[True], (value[1:] != value[:-1]) | (group[1:] != group[:-1])])
-    value, group, hot = value[keep], group[keep], held[keep] > hot_docs
+    value, group, hot = value[keep], group[keep], (held[keep] > hot_docs) | heavy[keep]
     order = np.argsort(group, kind="stable")
     value, group, hot = value[order], group[order], hot[order].astype(np.uint8)
     cuts = list(zip(*_cuts(group), strict=True))
@@ -324,7 +361,7 @@ def _share(data: pa.Table, hot_docs: int) -> pa.Table:
 _UNITS = "bucket long, g long, n long, packed binary"
 #: Of a unit: its number, the smallest document with it, half of its key (units of one key stay together, whatever
 #: else comes beside them) and its length.
-_HEAD = (("unit", np.dtype("<i4")), ("doc", np.dtype("<i8")), ("key", np.dtype("<u4")), ("size", np.dtype("<u2")))
+_HEAD = (("unit", np.dtype("<i8")), ("doc", np.dtype("<i8")), ("key", np.dtype("<u4")), ("size", np.dtype("<u2")))
 
 
 def _packed(columns: dict[str, np.ndarray], text: bytes) -> bytes:
@@ -344,16 +381,24 @@ def _send_units(bits: int, buckets: int):
     def send(docs: pa.Table, told: pa.Table) -> pa.Table:
         _, number, texts = _sorted_docs(docs)
         units = _Units(texts, _Shared(told, bits))
-        key = np.array(units.key, np.uint64)
-        bucket = (key % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        owner = number[np.array(units.owner, np.int64)] if len(key) else np.zeros(0, np.int64)
-        size = np.array([len(c) for c in units.content], np.int64)
         g, rows = (docs.column("g")[0].as_py() if docs.num_rows else 0), []
-        for a, b in zip(*_cuts(bucket[order]), strict=True):
-            u = order[a:b]
-            columns = {"unit": u, "doc": owner[u], "key": key[u] >> np.uint64(32), "size": size[u]}
-            rows.append((int(bucket[u[0]]), g, len(u), _packed(columns, b"".join([units.content[i] for i in u.tolist()]))))
+        owner = number[np.array(units.owner, np.int64)] if units.owner else np.zeros(0, np.int64)
+        cold = np.flatnonzero(~np.array(units.hot, bool))
+        key, size = np.array(units.key, np.uint64)[cold], np.array([len(units.content[u]) for u in cold.tolist()], np.int64)
+
+        def deal(name: np.ndarray, doc: np.ndarray, key: np.ndarray, size: np.ndarray, text) -> None:
+            bucket = (key % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            for a, b in zip(*_cuts(bucket[order]), strict=True):
+                u = order[a:b]
+                rows.append((int(bucket[u[0]]), g, len(u), _packed({"unit": name[u], "doc": doc[u], "key": key[u] >> np.uint64(32), "size": size[u]}, text(u))))
+
+        deal(cold, owner[cold], key, size, lambda u: b"".join([units.content[i] for i in cold[u].tolist()]))
+        # The windows of hot units are numbered on from the units.
+        of, at = units.windows()
+        window, every = units.window_bytes(of, at), np.arange(len(of))
+        keys = np.concatenate([np.zeros(0, np.uint64), *(_window_keys(window(every[i : i + (1 << 18)])) for i in range(0, len(of), 1 << 18))])
+        deal(len(units.content) + every, owner[of], keys, np.full(len(of), LENGTH), lambda u: window(u).tobytes())
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
         return pa.table([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], [x.split()[0] for x in _UNITS.split(", ")])
 
@@ -427,7 +472,11 @@ def _remove(bits: int):
         answers = np.array([b >= 0 for b in told.column("bucket").to_pylist()], bool)
         units = _Units(texts, _Shared(told.filter(pa.array(answers)), bits))
         read = lambda name: np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in told.filter(pa.array(~answers)).column(name).to_pylist())])
-        unit, lo, hi = read("b0"), read("b1"), read("b2")
+        unit, lo, hi = read("b0").copy(), read("b1").copy(), read("b2").copy()
+        of, at = units.windows()
+        single = unit >= len(units.content)
+        place = unit[single] - len(units.content)
+        unit[single], lo[single], hi[single] = of[place], at[place], at[place] + 1
         order = np.argsort(unit, kind="stable")
         unit, lo, hi = unit[order], lo[order], hi[order]
         owner = number[np.array(units.owner, np.int64)] if units.owner else np.zeros(0, np.int64)
@@ -448,10 +497,10 @@ def _remove(bits: int):
         begin, end = begin[order], np.maximum.accumulate(end[order]) if len(end) else end
         fresh = np.flatnonzero(np.concatenate([[True], begin[1:] > end[:-1]])) if len(begin) else np.zeros(0, np.int64)
         begin, end = begin[fresh], end[np.append(fresh[1:], len(end)) - 1] if len(fresh) else end
-        at = np.searchsorted(begin, np.append(base, base[-1] + size[-1] + 1 if len(base) else 0))
+        edge = np.searchsorted(begin, np.append(base, base[-1] + size[-1] + 1 if len(base) else 0))
         spans, kept = [], []
         for i, text in enumerate(texts):
-            mine = [(int(x - base[i]), int(y - base[i])) for x, y in zip(begin[at[i] : at[i + 1]], end[at[i] : at[i + 1]], strict=True)]
+            mine = [(int(x - base[i]), int(y - base[i])) for x, y in zip(begin[edge[i] : edge[i + 1]], end[edge[i] : edge[i + 1]], strict=True)]
             past, rest = 0, []
             for x, y in mine:
                 rest.append(text[past:x])
@@ -463,7 +512,7 @@ def _remove(bits: int):
     return remove
 
 
-def dedup(docs: DataFrame, hot: int = HOT, group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES, array_bytes: int = ARRAY_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, hot: int = HOT, hot_bytes: int = HOT_BYTES, group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES, array_bytes: int = ARRAY_BYTES) -> DataFrame:
     """(doc_id, n_bytes, spans, kept) of docs(doc_id, text): removed byte spans, and the bytes that are left."""
     rows = docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -472,7 +521,7 @@ def dedup(docs: DataFrame, hot: int = HOT, group_bytes: int = GROUP_BYTES, bucke
     buckets = max(1, math.ceil(total / bucket_bytes))
     # Rows without an id are spread by their text.
     grouped = rows.select(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.xxhash64("text"))), F.lit(groups)).alias("g"), "doc_id", "text")
-    told = checkpointed(_tell_anchors(grouped, bits).groupBy("bucket").applyInArrow(lambda data: _share(data, hot), _TOLD))
+    told = checkpointed(_tell_anchors(grouped, bits).groupBy("bucket").applyInArrow(lambda data: _share(data, hot, hot_bytes), _TOLD))
     by_group = grouped.groupBy("g")
     sent = by_group.cogroup(told.groupBy("g")).applyInArrow(_send_units(bits, buckets), _UNITS)
     answers = sent.groupBy("bucket").applyInArrow(lambda data: _match(data, array_bytes), _TOLD)

@@ -84,3 +84,49 @@ def test_ranks_sort_suffixes_to_their_depth():
                 order = np.flatnonzero(wanted)[np.argsort(rank[wanted], kind="stable")]
                 heads = [bytes(text[i : i + 50].astype(np.uint8)) for i in order]
                 assert heads == sorted(heads)
+
+
+def removed(texts):
+    """The bytes that go of each of texts, told by hashes of all windows."""
+    least, own = {}, []
+    for text in texts:
+        b = np.frombuffer(text.encode(), np.uint8).astype(np.uint64)
+        h = np.zeros(max(0, len(b) - 49), np.uint64)
+        for j in range(50):
+            h = (h * np.uint64(0x100000001B3)) ^ (b[j : len(b) - 49 + j] * np.uint64(0x9E3779B97F4A7C15))
+        own.append(h)
+    out, seen = [], np.zeros(0, np.uint64)
+    for h, text in zip(own, texts, strict=True):
+        gone = np.zeros(len(text.encode()) + 1, np.int64)
+        for at in [np.flatnonzero(np.isin(h, seen))]:
+            np.add.at(gone, at, 1)
+            np.add.at(gone, np.minimum(at + 50, len(gone) - 1), -1)
+        out.append(int((np.cumsum(gone)[:-1] > 0).sum()))
+        seen = np.union1d(seen, h)
+    return out
+
+
+def test_one_string_in_countless_contexts_of_few_documents(spark):
+    r = np.random.default_rng(8)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    line = lambda: "2026-01-01T00:00 " + "".join(r.choice(letters, int(r.integers(30, 70))))
+    first, second = [line() for _ in range(60_000)], [line() for _ in range(60_000)]
+    for i in r.integers(0, 60_000, 700).tolist():
+        second[i] = first[int(r.integers(60_000))]
+    texts = ["\n".join(first), "\n".join(second)]
+    assert len(texts[0]) > 4_000_000
+    got = {x.doc_id: sum(s["end"] - s["start"] for s in x.spans) for x in dedup(documents(spark, texts)).collect()}
+    assert [got[0], got[1]] == removed(texts) and got[1] > 30_000
+
+
+def test_long_periodic_texts(spark):
+    r = np.random.default_rng(9)
+    period = "".join(r.choice(list("abcdef"), 211))
+    texts = [period * 100_000, "x" * 300_000, "start " + period * 500 + " end", "y" + "x" * 1000 + "z"]
+    got = {x.doc_id: sum(s["end"] - s["start"] for s in x.spans) for x in dedup(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(4)] == removed(texts) == [0, 0, 500 * 211, 1000]
+
+
+def test_an_array_beyond_the_names_is_refused():
+    with pytest.raises(ValueError):
+        ranks(np.ones(1 << 21, np.int64), 50, np.ones(1 << 21, bool))
