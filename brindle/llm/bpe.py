@@ -5,16 +5,25 @@ automaton whose arcs are tokens and whose states are "what may follow the arc ju
 for merge m = (u, v) -> uv closes arc v in the state that u leads to and opens arc uv wherever the path
 u, v was open; the state behind uv starts as a copy of the state behind v. A text has exactly one path
 through the finished automaton: the token sequence that running the merges in order gives. The dense
-table would have 50k x 50k cells; a cell is derived from the gadgets when a text first needs it, and
-kept, so that encoding is a walk over table cells and no merge is ever replayed.
+table would have 50k x 50k cells; a cell is derived from the gadgets when a text first needs it, and kept.
+
+Words are read byte by byte through the automaton's determinised form. A state of that says, for every
+suffix of what was read that begins some token, where it stands among the beginnings of tokens and which
+arc led to its start; and which arc is the last of the path of all that was read. As every prefix has
+one path, the next byte leads to one next state. Transitions are a table from state and byte to state,
+filled when first taken; a table that has grown to STATES states is begun anew with the current one. The path
+is read off backwards from the last arcs of all prefixes, so that a word takes four bytes per byte of
+its own beside its ids, however long it is.
 
 Pre-split words are cached per Python worker in two generations of bounded size, which changes nothing
-but time. Null texts are encoded as empty ones (no ids); ids are exact for texts of any length.
+but time. Null and empty texts have no ids, and spell the empty text; ids are exact for texts of any length.
+Rows are coded one by one: copies and equal ids alike, and an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -31,6 +40,8 @@ from brindle.llm.common import small_batches, table
 DEFAULT_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Words kept per Python worker, and the length beyond which a word is not kept.
 CACHE_WORDS, CACHE_LENGTH = 200_000, 48
+#: States that the determinised automaton holds at a time.
+STATES = 100_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -57,7 +68,6 @@ class TokenAutomaton:
         for content, i in self.added.items():
             self.label[i] = content.encode()
         self.token_of = {self.label[i]: i for t, i in vocab.items() if t not in self.added}
-        self.longest = max(map(len, self.token_of))
         self.parts: list[tuple[int, int] | None] = [None] * size
         self.born = [-1] * size
         self.merge: dict[int, int] = {}  # arc pair -> number of the merge that closes it
@@ -70,7 +80,27 @@ class TokenAutomaton:
         self.split_words = regex.compile(public_tokenizers.PATTERN).findall
         self.words: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
-        self.tail: dict[bytes, int] = {}
+        # The beginnings of tokens: node and byte to node, and the token that ends at a node.
+        self.child: dict[int, int] = {}
+        self.ends: list[int] = [-1]
+        for token, i in self.token_of.items():
+            node = 0
+            for c in token:
+                after = self.child.get(node << 8 | c)
+                if after is None:
+                    after = self.child[node << 8 | c] = len(self.ends)
+                    self.ends.append(-1)
+                node = after
+            self.ends[node] = i
+        self._begin(((), -1))
+
+    def _begin(self, state: tuple) -> None:
+        """Empties the table of transitions, with state as number 0 (where words begin) or, if another, 1."""
+        start = ((), -1)
+        self.states = [start] if state == start else [start, state]
+        self.number = {s: i for i, s in enumerate(self.states)}
+        self.step: dict[int, int] = {}
+        self.arc = [s[1] for s in self.states]
 
     def _gadget(self, m: int, u: int, v: int, joined: int) -> None:
         if self.parts[joined] is not None:
@@ -101,49 +131,48 @@ class TokenAutomaton:
 
     def walk(self, word: bytes) -> list[int]:
         """The arcs of the one path that spells word."""
-        path = []
-        while word:
-            arc = self._last(word)
-            path.append(arc)
-            word = word[: -len(self.label[arc])]
+        last, at = array("i"), 0
+        for c in word:
+            after = self.step.get(at << 8 | c)
+            at = self._next(at, c) if after is None else after
+            last.append(self.arc[at])
+        path, end = [], len(word)
+        while end:
+            path.append(last[end - 1])
+            end -= len(self.label[path[-1]])
         return path[::-1]
 
-    def _last(self, prefix: bytes) -> int:
-        """The last arc of the path that spells prefix: a transition table by prefix, filled on demand.
-
-        A prefix of a path is the path of its own string, so that the arc is the one token at the end of
-        prefix that may follow the last arc of what is before it. An explicit stack keeps long words off
-        Python's own.
-        """
-        known, token_of, merge, first, longest = self.tail, self.token_of, self.merge, self._first, self.longest
-        stack: list[tuple[bytes, int]] = [(prefix, max(0, len(prefix) - longest))]
-        while stack:
-            text, start = stack.pop()
-            if text in known:
+    def _next(self, at: int, c: int) -> int:
+        """The state that byte c leads to from state at, put into the table."""
+        begun, before = self.states[at]
+        # (node, arc before it) of the suffixes that begin a token, the longest first; a new one begins here.
+        suffixes, arc = [], -1
+        for node, led in (*begun, (0, before)):
+            after = self.child.get(node << 8 | c)
+            if after is None:
                 continue
-            for at in range(start, len(text)):
-                token = token_of.get(text[at:])
-                if token is None:
-                    continue
-                if at:
-                    before = known.get(text[:at])
-                    if before is None:
-                        stack += [(text, at), (text[:at], max(0, at - longest))]
-                        break
-                    if (before << 32 | token) in merge or not first(before, token):
-                        continue
-                known[text] = token
-                break
-            else:
-                raise ValueError("no path: the vocabulary lacks a byte")
-        return known[prefix]
+            suffixes.append((after, led))
+            token = self.ends[after]
+            if arc < 0 <= token and (led < 0 or ((led << 32 | token) not in self.merge and self._first(led, token))):
+                arc = token
+        if arc < 0:
+            raise ValueError("no path: the vocabulary lacks a byte")
+        state = (tuple(suffixes), arc)
+        to = self.number.get(state)
+        if to is None and len(self.states) >= STATES:
+            self._begin(state)
+            return self.number[state]
+        if to is None:
+            to = self.number[state] = len(self.states)
+            self.states.append(state)
+            self.arc.append(arc)
+        self.step[at << 8 | c] = to
+        return to
 
     def _word(self, word: str) -> tuple[int, ...]:
         found = self.older.get(word)
         if found is None:
             found = tuple(self.walk(word.encode()))
-            if len(word) > CACHE_LENGTH or len(self.tail) >= CACHE_WORDS:
-                self.tail.clear()
             if len(self.cell) >= 2 * CACHE_WORDS:
                 self.cell.clear()
         if len(word) <= CACHE_LENGTH:
@@ -243,5 +272,6 @@ def round_trip(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row of documents: its number of tokens, and digests of its ids and of the text decoded from them."""
     coded = round_trip(table(spark, sf_dir, "documents", spread="doc_id"))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

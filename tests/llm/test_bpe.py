@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import public_tokenizers
 import pytest
@@ -58,3 +59,27 @@ def test_columns_stay_and_clashes_are_refused(spark):
     assert encode(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         encode(df, ids="other")
+
+
+def test_a_word_of_a_million_letters_takes_bounded_memory(own, library):
+    r = random.Random(8)
+    for letters, n, traced in (("abcdefghijklmnopqrstuvwxyz", 1_000_000, False), ("abcdefghijklmnopqrstuvwxyz", 150_000, True), ("漢字仮名交文章", 50_000, True), ("a", 150_000, True)):
+        word = "".join(r.choice(letters) for _ in range(n))
+        if traced:
+            tracemalloc.start()
+        ids = own.encode(word)
+        if traced:
+            assert tracemalloc.get_traced_memory()[1] < 100e6
+            tracemalloc.stop()
+        assert ids == library.encode(word, add_special_tokens=False).ids and own.decode(ids) == word
+
+
+def test_a_table_begun_anew_changes_nothing(library, monkeypatch):
+    from brindle.llm import bpe
+
+    monkeypatch.setattr(bpe, "STATES", 5)
+    with open(PATH, encoding="utf-8") as file:
+        small = TokenAutomaton(file.read())
+    for text in fuzz(60):
+        assert small.encode(text) == library.encode(text, add_special_tokens=False).ids
+        assert len(small.states) <= 5
