@@ -3,12 +3,18 @@
 A store is a folder of immutable Parquet files (shards) and of manifests, one per version, each of which
 lists the shards that make up the table. An append writes new shards and commits a manifest that adds them.
 Compaction looks at sizes alone: shards fall into tiers by the power of FANOUT of the least size that they
-hold; FANOUT shards of one tier are a run, and runs are merged, at most up to the target size, in one
-Spark job per round, until no tier has a run left. A row is so rewritten as often as there are tiers.
+hold; FANOUT shards of one tier are a run, and runs are merged, at most up to the target size, until no
+tier has a run left. A row is so rewritten as often as there are tiers. Nothing is shuffled: arrivals are
+written by the tasks that read them, and a run is one task that reads its few files and writes one.
 
 A commit puts a manifest under the next version's name by a rename that fails if the name is taken: of two
-writers one wins and the other gets Conflict, and no reader ever sees half a version. Files that no kept
-version lists are deleted by vacuum. A job that dies leaves files that no manifest lists.
+writers one wins, and the other commits on top of what it finds (an append always, a merge if the shards
+that it replaces are still there; else its files are deleted). No reader ever sees half a version. Files that
+no kept version lists are deleted by vacuum. A job that dies leaves files that no manifest lists.
+
+An ingest is named. Its files are written once and listed under that name before any of its arrivals is
+committed, and a manifest says which arrivals it holds: an ingest that died is run again under its name, and
+commits what is missing, and nothing twice.
 
 Rows are kept as they are, copies and nulls included; an empty append adds no shard. Shards keep every
 column, and the rows of a store all have the columns of the first append.
@@ -19,17 +25,21 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import free_name, fresh_path, table
+from brindle.llm.common import BROADCAST_ROWS, checkpointed, delete_path, fresh_path, table
 
 #: Bytes of a new shard and of a finished one, and how many shards of a tier are merged.
 SMALL_BYTES, TARGET_BYTES, FANOUT = 4 << 20, 64 << 20, 4
 #: Batches in which op4's table arrives.
 ARRIVALS = 24
+#: Runs of a Spark job, and jobs at a time.
+JOB_RUNS, JOBS = 64, 4
 
 
 class Conflict(RuntimeError):
@@ -65,23 +75,19 @@ class ShardStore:
         names = [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
         return max([0, *(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))])
 
-    def shards(self, version: int | None = None) -> list[Shard]:
-        version = self.version() if version is None else version
-        if not version:
-            return []
-        stream = self._fs.open(self._path(f"manifests/v{version:010d}.json"))
+    def _json(self, name: str) -> dict:
+        stream = self._fs.open(self._path(name))
         try:
-            text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
-        return [Shard(**s) for s in json.loads(text)["shards"]]
 
-    def commit(self, version: int, shards: list[Shard]) -> int:
-        """Puts version; its shards are on disk already."""
-        text = json.dumps({"version": version, "shards": [asdict(s) for s in shards]})
-        draft, final = self._path(f"manifests/.{uuid.uuid4().hex}"), self._path(f"manifests/v{version:010d}.json")
+    def _put(self, name: str, value: dict) -> bool:
+        """Writes a file that is not there yet, whole or not at all; False if it is there."""
+        draft, final = self._path(f"manifests/.{uuid.uuid4().hex}"), self._path(name)
+        self._fs.mkdirs(final.getParent())
         out = self._fs.create(draft, False)
-        out.write(text.encode())
+        out.write(json.dumps(value).encode())
         out.close()
         files = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self._conf)
         options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
@@ -90,58 +96,103 @@ class ShardStore:
         except Exception as error:
             self._fs.delete(draft, False)
             if "FileAlreadyExists" in str(error):
-                raise Conflict(f"version {version} is there already") from error
+                return False
             raise
+        return True
+
+    def _manifest(self, version: int) -> dict:
+        return self._json(f"manifests/v{version:010d}.json") if version else {"shards": [], "arrivals": []}
+
+    def shards(self, version: int | None = None) -> list[Shard]:
+        return [Shard(**s) for s in self._manifest(self.version() if version is None else version)["shards"]]
+
+    def arrivals(self) -> set[str]:
+        """The names of the arrivals that are in."""
+        return set(self._manifest(self.version())["arrivals"])
+
+    def commit(self, version: int, shards: list[Shard], arrivals: list[str] | None = None) -> int:
+        """Puts version; its shards are on disk already. arrivals: all that it holds, those of the version before if None."""
+        held = self._manifest(version - 1)["arrivals"] if arrivals is None else arrivals
+        if not self._put(f"manifests/v{version:010d}.json", {"version": version, "arrivals": held, "shards": [asdict(s) for s in shards]}):
+            raise Conflict(f"version {version} is there already")
         return version
 
+    def _add(self, name: str, new: list[Shard]) -> int:
+        """Commits the shards of an arrival on top of whatever version is the newest, once; the version."""
+        while True:
+            version = self.version()
+            before = self._manifest(version)
+            if name in before["arrivals"]:
+                return version
+            try:
+                return self.commit(version + 1, [*(Shard(**s) for s in before["shards"]), *new], [*before["arrivals"], name])
+            except Conflict:
+                continue
+
+    def _replace(self, runs: list[list[Shard]], merged: list[Shard]) -> bool:
+        """Commits merged in place of runs; False if another writer has replaced some of them."""
+        gone = {s.path for run in runs for s in run}
+        while True:
+            version = self.version()
+            before = self.shards(version)
+            if not gone <= {s.path for s in before}:
+                return False
+            try:
+                self.commit(version + 1, [*(s for s in before if s.path not in gone), *merged])
+                return True
+            except Conflict:
+                continue
+
     # -- data
 
-    def _written(self, df: DataFrame, by: list[str]) -> dict[tuple, list[Shard]]:
-        """Writes df, and lists the new shards by the values of by, which are not written."""
+    def _written(self, df: DataFrame, rows: int = 0) -> list[Shard]:
+        """Writes each partition of df as a shard, or as shards of so many rows, and lists them in the order of rows."""
         name = f"data/{uuid.uuid4().hex}"
-        df.write.partitionBy(*by).parquet(f"{self.root}/{name}")
-        files = {}
-        listing = self._fs.listFiles(self._path(name), True)
-        base = self._fs.makeQualified(self._path("")).toString().rstrip("/") + "/"
+        df.write.option("maxRecordsPerFile", rows).parquet(f"{self.root}/{name}")
+        listing, files = self._fs.listFiles(self._path(name), False), {}
         while listing.hasNext():
             status = listing.next()
             if status.getPath().getName().startswith("part-"):
-                files[status.getPath().toString().removeprefix(base)] = status.getLen()
+                files[status.getPath().getName()] = status.getLen()
         if not files:
-            return {}
-        # A count per file takes nothing but footers.
-        counts = self.spark.read.option("recursiveFileLookup", True).parquet(f"{self.root}/{name}").groupBy(F.col("_metadata.file_path").alias("f")).count().collect()
-        rows = {r["f"].split(f"/{name}/", 1)[1]: r["count"] for r in counts}
-        out: dict[tuple, list[Shard]] = {}
-        for path, size in sorted(files.items()):
-            inner = path.split(f"{name}/", 1)[1]
-            values = tuple(int(p.split("=", 1)[1]) for p in inner.split("/")[: len(by)])
-            if rows.get(inner, 0):
-                out.setdefault(values, []).append(Shard(path, rows[inner], size))
-        return out
-
-    def append(self, df: DataFrame, shards: int = 1) -> int:
-        """Commits the rows of df as about so many new shards; the version."""
-        batch = free_name(df, "batch")
-        return self.append_batches(df.withColumn(batch, F.lit(0)), batch, shards)
-
-    def append_batches(self, df: DataFrame, batch: str, shards: int = 1) -> int:
-        """Commits the rows of each value (int) of column batch, in order, as a version of its own."""
-        part = (F.monotonically_increasing_id() % shards).cast("int")
-        spread = free_name(df, "spread")
-        new = self._written(df.withColumn(spread, part).repartition(batch, spread).drop(spread), [batch])
-        version = self.version()
-        for key in sorted(new):
-            version = self.commit(version + 1, [*self.shards(version), *new[key]])
-        return version
+            return []
+        # A count per file takes nothing but footers, and the driver keeps a line per file in any case.
+        counts = self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}").groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("f")).count().collect()
+        held = {r["f"]: r["count"] for r in counts}
+        # part-<task>-<job>-c<file>: the tasks' order, and the files' within a task.
+        place = lambda n: (int(n.split("-")[1]), int(n.rsplit("-c", 1)[1].split(".")[0]))
+        return [Shard(f"{name}/{n}", held[n], files[n]) for n in sorted(files, key=place) if held.get(n)]
+
+    def append(self, df: DataFrame, rows: int = 0) -> int:
+        """Commits the rows of df, as a shard per partition or of so many rows, as one arrival; the version."""
+        new = self._written(df, rows)
+        return self._add(new[0].path, new) if new else self.version()
+
+    def ingest(self, name: str, df: DataFrame, arrivals: int, rows: int = 0) -> int:
+        """Commits the rows of df in so many arrivals, a version each, in the order of its partitions; the version.
+
+        Run again under the same name, it goes on where it stopped.
+        """
+        listed = f"ingests/{name}.json"
+        if not self._fs.exists(self._path(listed)):
+            self._put(listed, {"shards": [asdict(s) for s in self._written(df, rows)]})
+        new = [Shard(**s) for s in self._json(listed)["shards"]]
+        for i in range(min(arrivals, len(new))):
+            self._add(f"{name}/{i}", new[len(new) * i // min(arrivals, len(new)) : len(new) * (i + 1) // min(arrivals, len(new))])
+        return self.version()
 
     def read(self, version: int | None = None, columns: bool = False) -> DataFrame | None:
         """The rows of a version, None if it has no shard; columns: with _shard, the path of each row's shard, in place of any such column."""
         shards = self.shards(version)
         if not shards:
             return None
-        df = self.spark.read.parquet(*(f"{self.root}/{s.path}" for s in shards))
-        return df.withColumn("_shard", F.regexp_extract(F.col("_metadata.file_path"), "(data/[^/]+/.*)$", 1)) if columns else df
+        df = self._of(shards)
+        return df.withColumn("_shard", F.regexp_extract(F.input_file_name(), "(data/[^/]+/[^/]+)$", 1)) if columns else df
+
+    def _of(self, shards: list[Shard]) -> DataFrame:
+        # The schema is read from one footer, as all shards of a store have it.
+        one = self.spark.read.parquet(f"{self.root}/{shards[0].path}")
+        return self.spark.read.schema(one.schema).parquet(*(f"{self.root}/{s.path}" for s in shards))
 
     def runs(self, shards: list[Shard]) -> list[list[Shard]]:
         """Runs to merge: at least fanout shards of one tier each, or what reaches the target size."""
@@ -162,20 +213,26 @@ class ShardStore:
                     run = []
         return [r for r in out if len(r) > 1]
 
+    def _merge(self, runs: list[list[Shard]]) -> None:
+        """Writes a shard in place of each run: a task per run reads its files and writes one."""
+        # Of inputs of one partition each, a union may make one partition; a session of its own rules that out.
+        apart = self.spark.newSession()
+        apart.conf.set("spark.sql.unionOutputPartitioning", "false")
+        schema = apart.read.parquet(f"{self.root}/{runs[0][0].path}").schema
+        parts = [apart.read.schema(schema).parquet(*(f"{self.root}/{s.path}" for s in run)).coalesce(1) for run in runs]
+        merged = self._written(reduce(DataFrame.unionAll, parts))
+        if [s.rows for s in merged] != [sum(s.rows for s in run) for run in runs]:
+            raise RuntimeError("the merged shards do not hold the rows of their runs")
+        if not self._replace(runs, merged):
+            for s in merged:
+                self._fs.delete(self._path(s.path), False)
+
     def compact(self, vacuum: bool = True) -> int:
         """Merges until no run is left; the version."""
-        while runs := self.runs(before := self.shards(version := self.version())):
-            place = [(s.path, i) for i, run in enumerate(runs) for s in run]
-            # One row per file to be merged, as the manifest on the driver has.
-            df = self.spark.read.parquet(*(f"{self.root}/{p}" for p, _ in place))
-            names, path, run = df.columns, free_name(df, "path"), free_name(df, "run")
-            where = F.broadcast(self.spark.createDataFrame(place, f"{path} string, {run} int"))
-            df = df.withColumn(path, F.regexp_extract(F.col("_metadata.file_path"), "(data/[^/]+/.*)$", 1)).join(where, path).select(*names, run)
-            merged = self._written(df.repartition(len(runs), run), [run])
-            if sum(s.rows for x in merged.values() for s in x) != sum(s.rows for run in runs for s in run):
-                raise RuntimeError("the merged shards do not hold the rows of their runs")
-            gone = {p for p, _ in place}
-            self.commit(version + 1, [*(s for s in before if s.path not in gone), *(s for x in merged.values() for s in x)])
+        while runs := self.runs(self.shards()):
+            jobs = [runs[i : i + JOB_RUNS] for i in range(0, len(runs), JOB_RUNS)]
+            with ThreadPoolExecutor(JOBS) as pool:
+                list(pool.map(self._merge, jobs))
             if vacuum:
                 self.vacuum()
         return self.version()
@@ -198,20 +255,29 @@ class ShardStore:
 
 
 def shard(docs: DataFrame, root: str, arrivals: int = ARRIVALS, store_options: dict | None = None) -> ShardStore:
-    """A store at root with docs(doc_id, text, ...), come in arrivals batches and compacted."""
+    """A store at root with docs(doc_id, text, ...), come in arrivals and compacted."""
     store = ShardStore(docs.sparkSession, root, **(store_options or {}))
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    batch, name = F.pmod(F.xxhash64("doc_id", "text"), F.lit(arrivals)).cast("int"), free_name(docs, "batch")
-    store.append_batches(docs.withColumn(name, batch), name, max(1, math.ceil(size / arrivals / (2 * store.small))))
+    seen = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    # Text takes up to half its size in a file. An arrival has a shard at least.
+    rows = max(1, min(seen[1] * 2 * store.small // max(1, seen[0]), seen[1] // arrivals))
+    store.ingest("documents", docs, arrivals, rows)
     store.compact()
     return store
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row of documents: the shard that holds it after compaction, with its rows and tier, and the version.
+
+    Null and empty texts are rows like others (n_bytes null and 0); copies of a row are rows of their own; an
+    empty table gives no row. The store is deleted once the answer is kept.
+    """
     store = shard(table(spark, sf_dir, "documents"), fresh_path(spark, "shards"))
     version, found = store.version(), store.read(columns=True)
     if found is None:
         return spark.createDataFrame([], "doc_id long, n_bytes long, shard int, shard_rows long, tier int, version int")
     listed = [(s.path, i, s.rows, s.tier()) for i, s in enumerate(store.shards())]
-    names = F.broadcast(spark.createDataFrame(listed, "_shard string, shard int, shard_rows long, tier int"))
-    return found.select("doc_id", "text", "_shard").join(names, "_shard").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "shard", "shard_rows", "tier", F.lit(version).alias("version"))
+    names = spark.createDataFrame(listed, "_shard string, shard int, shard_rows long, tier int")
+    names = F.broadcast(names) if len(listed) <= BROADCAST_ROWS else names.hint("shuffle_merge")
+    answer = checkpointed(found.select("doc_id", "text", "_shard").join(names, "_shard").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "shard", "shard_rows", "tier", F.lit(version).alias("version")))
+    delete_path(spark, store.root)
+    return answer
