@@ -12,7 +12,7 @@ suffix of what was read that begins some token, where it stands among the beginn
 arc led to its start; and which arc is the last of the path of all that was read. As every prefix has
 one path, the next byte leads to one next state. Transitions are a table from state and byte to state,
 filled when first taken; a table that has grown to STATES states is begun anew with the current one. The path
-is read off backwards from the last arcs of all prefixes, so that a word takes four bytes per byte of
+is read off backwards from the last arcs of all prefixes, so that a word takes eight bytes per byte of
 its own beside its ids, however long it is.
 
 Pre-split words are cached per Python worker in two generations of bounded size, which changes nothing
@@ -23,7 +23,6 @@ Rows are coded one by one: copies and equal ids alike, and an empty table gives
 from __future__ import annotations
 
 import json
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -41,7 +40,7 @@ DEFAULT_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Words kept per Python worker, and the length beyond which a word is not kept.
 CACHE_WORDS, CACHE_LENGTH = 200_000, 48
 #: States that the determinised automaton holds at a time.
-STATES = 100_000
+STATES = 300_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -91,16 +90,17 @@ class TokenAutomaton:
                     after = self.child[node << 8 | c] = len(self.ends)
                     self.ends.append(-1)
                 node = after
-            self.ends[node] = i
-        self._begin(((), -1))
+            if i not in self.dead:
+                self.ends[node] = i
+        self.opens: dict[int, bool] = {}  # arc pair -> open once all merges are in
+        self._begin((-1,))
 
-    def _begin(self, state: tuple) -> None:
+    def _begin(self, state: tuple[int, ...]) -> None:
         """Empties the table of transitions, with state as number 0 (where words begin) or, if another, 1."""
-        start = ((), -1)
-        self.states = [start] if state == start else [start, state]
+        self.states = [(-1,)] if state == (-1,) else [(-1,), state]
         self.number = {s: i for i, s in enumerate(self.states)}
         self.step: dict[int, int] = {}
-        self.arc = [s[1] for s in self.states]
+        self.arc = [s[0] for s in self.states]
 
     def _gadget(self, m: int, u: int, v: int, joined: int) -> None:
         if self.parts[joined] is not None:
@@ -131,10 +131,13 @@ class TokenAutomaton:
 
     def walk(self, word: bytes) -> list[int]:
         """The arcs of the one path that spells word."""
-        last, at = array("i"), 0
+        last, at, get = [], 0, self.step.get
         for c in word:
-            after = self.step.get(at << 8 | c)
-            at = self._next(at, c) if after is None else after
+            after = get(at << 8 | c)
+            if after is None:
+                after = self._next(at, c)
+                get = self.step.get
+            at = after
             last.append(self.arc[at])
         path, end = [], len(word)
         while end:
@@ -143,26 +146,37 @@ class TokenAutomaton:
         return path[::-1]
 
     def _next(self, at: int, c: int) -> int:
-        """The state that byte c leads to from state at, put into the table."""
-        begun, before = self.states[at]
-        # (node, arc before it) of the suffixes that begin a token, the longest first; a new one begins here.
-        suffixes, arc = [], -1
-        for node, led in (*begun, (0, before)):
-            after = self.child.get(node << 8 | c)
-            if after is None:
+        """The state that byte c leads to from state at, put into the table.
+
+        A state: the last arc, and then, the longest first, each suffix that begins a token, as the arc that led to
+        its start (from 1; 0 at the start of the word), times 2^24, and its node. A new suffix begins at the root.
+        """
+        begun, child, ends, opens = self.states[at], self.child, self.ends, self.opens
+        state, arc = [-1], -1
+        for x in (*begun[1:], (begun[0] + 1) << 24):
+            node = child.get((x & 0xFFFFFF) << 8 | c)
+            if node is None:
                 continue
-            suffixes.append((after, led))
-            token = self.ends[after]
-            if arc < 0 <= token and (led < 0 or ((led << 32 | token) not in self.merge and self._first(led, token))):
-                arc = token
+            led = x >> 24
+            state.append(led << 24 | node)
+            if arc < 0 <= (token := ends[node]):
+                if not led:
+                    arc = token
+                else:
+                    known = opens.get(pair := led << 32 | token)
+                    if known is None:
+                        known = opens[pair] = ((led - 1) << 32 | token) not in self.merge and self._first(led - 1, token)
+                    if known:
+                        arc = token
         if arc < 0:
             raise ValueError("no path: the vocabulary lacks a byte")
-        state = (tuple(suffixes), arc)
+        state[0] = arc
+        state = tuple(state)
         to = self.number.get(state)
-        if to is None and len(self.states) >= STATES:
-            self._begin(state)
-            return self.number[state]
         if to is None:
+            if len(self.states) >= STATES:
+                self._begin(state)
+                return self.number[state]
             to = self.number[state] = len(self.states)
             self.states.append(state)
             self.arc.append(arc)
@@ -173,8 +187,9 @@ class TokenAutomaton:
         found = self.older.get(word)
         if found is None:
             found = tuple(self.walk(word.encode()))
-            if len(self.cell) >= 2 * CACHE_WORDS:
+            if len(self.cell) >= 2 * CACHE_WORDS or len(self.opens) >= 2 * CACHE_WORDS:
                 self.cell.clear()
+                self.opens.clear()
         if len(word) <= CACHE_LENGTH:
             if len(self.words) >= CACHE_WORDS:
                 self.older, self.words = self.words, {}
