@@ -23,6 +23,8 @@ NAME_PARTS = {
     "rrn": ("RRN", "JUMIN", "주민", "SSN"),
 }
 KINDS = ("rrn", *PATTERNS)
+#: What a text of each kind cannot do without, and what is cheap to look for.
+NEEDS = {"phone": "01", "email": "@", "business_no": "-"}
 
 
 def _issued(number: Column) -> Column:
@@ -32,16 +34,17 @@ def _issued(number: Column) -> Column:
     longest = F.when(month == 2, 29).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
     total = sum((digit(i) * w for i, w in enumerate(RRN_WEIGHTS)), F.lit(0))
     checks = digit(12) == (F.lit(11) - total % 11) % 10
-    # Since 2020 a number for a birth from 2000 on has no check digit.
+    # Numbers given out lately, to those born in this century, carry no check.
     return F.coalesce(month.between(1, 12) & (day >= 1) & (day <= longest) & (digit(6).isin(3, 4) | checks), F.lit(False))
 
 
 def holds(value: Column, kind: str) -> Column:
     """Whether a text holds this kind of personal data."""
     if kind != "rrn":
-        return F.coalesce(value.rlike(PATTERNS[kind]), F.lit(False))
+        return F.coalesce(value.contains(NEEDS[kind]) & value.rlike(PATTERNS[kind]), F.lit(False))
     joined = F.regexp_extract_all(value, F.lit(RRN_JOINED), F.lit(0))
-    return F.coalesce(value.rlike(RRN_DASHED) | F.exists(joined, _issued), F.lit(False))
+    dashed = value.rlike("-[1-4]") & value.rlike(RRN_DASHED)
+    return F.coalesce(dashed | (value.rlike(r"\p{Nd}{6}[1-4]\p{Nd}{6}") & F.exists(joined, _issued)), F.lit(False))
 
 
 def scan_values(df: DataFrame) -> DataFrame:

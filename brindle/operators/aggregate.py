@@ -129,4 +129,4 @@ def run(df: DataFrame, plan: AggregatePlan) -> Outcome:
         raise MixedUnits([tuple(r) for r in groups.where("_units > 1").select(*keys, "_units").orderBy(*keys).limit(5).collect()])
     if counts["n"] > MAX_GROUPS:
         raise PlanError(f"{counts['n']} groups; at most {MAX_GROUPS} are returned, and none is left out unseen")
-    return Outcome(df.sparkSession.createDataFrame(found, cut.schema), counts["n"])
+    return Outcome(df.sparkSession.createDataFrame(found, cut.schema).coalesce(1), counts["n"])

@@ -72,22 +72,20 @@ def apply_filters(df: DataFrame, filters: tuple[RowFilter, ...]) -> DataFrame:
     return df
 
 
-def page(df: DataFrame, plan: RowsPlan, seq: str) -> DataFrame:
-    """The page's rows: sorted, nulls last in either direction, ties by seq; a top-k, not a sort of the table."""
+def page(df: DataFrame, plan: RowsPlan, seq: str, beyond: int = 0) -> DataFrame:
+    """The page's rows, and so many beyond it: sorted, nulls last in either direction, ties by seq; a top-k, not a sort of the table."""
     if len(plan.sort) > MAX_SORTS or not 1 <= plan.limit <= MAX_PAGE or plan.offset < 0:
         raise PlanError("too many sort keys, or a page of no or too many rows")
     if len(set(plan.columns)) < len(plan.columns) or (missing := [c for c in (*plan.columns, *(c for c, _ in plan.sort)) if c not in df.columns]):
         raise PlanError(f"columns repeat or are not there: {missing if len(set(plan.columns)) == len(plan.columns) else plan.columns}")
     order = [F.desc_nulls_last(f"`{c}`") if down else F.asc_nulls_last(f"`{c}`") for c, down in plan.sort]
-    rows = apply_filters(df, plan.filters).orderBy(*order, F.asc(f"`{seq}`")).offset(plan.offset).limit(plan.limit)
+    rows = apply_filters(df, plan.filters).orderBy(*order, F.asc(f"`{seq}`")).offset(plan.offset).limit(plan.limit + beyond)
     return rows.select(*(F.col(f"`{c}`") for c in plan.columns)) if plan.columns else rows
 
 
 def read_page(df: DataFrame, plan: RowsPlan, seq: str) -> tuple[list, int | None, bool]:
     """(rows, exact count or None, whether more follow); one row more than asked for tells the last."""
-    import dataclasses
-
-    wide = page(df, dataclasses.replace(plan, limit=min(plan.limit, MAX_PAGE - 1) + 1), seq).collect()
+    wide = page(df, plan, seq, beyond=1).collect()
     counted = plan.count or ("none" if plan.filters else "exact")
     total = apply_filters(df, plan.filters).count() if counted == "exact" else None
     return wide[: plan.limit], total, len(wide) > plan.limit

@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Where the cluster keeps what all its machines share; a temporary folder where the session names none (tests)."""
+    """Where the cluster keeps what all its machines share, as spark.checkpoint.dir says.
+
+    Where the session names none, one machine (tests) takes a temporary folder; a cluster has to name one.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='brindle-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

@@ -79,6 +79,10 @@ def normalize(df: DataFrame, contract: Contract) -> DataFrame:
 # -- the build
 
 
+#: The number of a joined row on the right side.
+RIGHT_SEQ = "_right_seq"
+
+
 @dataclass
 class SourceOutcome:
     key: str
@@ -179,14 +183,16 @@ def _gold(spark: SparkSession, spec: BuildSpec, build: Build, good: dict[str, So
         second, keys = spec.sources[1], spec.composition.keys
         # Columns that are no keys are masked before the join, keys after it.
         left = pii.mask(good[first.key].silver, [c for c in first.mask if c not in {a for a, _ in keys}])
-        right = pii.mask(good[second.key].silver.drop(SEQ), [c for c in second.mask if c not in {b for _, b in keys}])
+        right = pii.mask(good[second.key].silver.withColumnRenamed(SEQ, RIGHT_SEQ), [c for c in second.mask if c not in {b for _, b in keys}])
         joined = joins.compose(left, right, spec.composition)
         gold = pii.mask(joined, [c for c in first.mask if c in {a for a, _ in keys}])
     else:
         gold = pii.mask(select.select(good[first.key].silver, first.filters), list(first.mask))
         if first.columns:
             gold = select.select(gold, columns=[*first.columns, SEQ])
-    gold = numbered(gold.withColumnRenamed(SEQ, "_source_seq"), [F.col("_source_seq")]).drop("_source_seq")
+    # Rows that one left row met follow the right side's order; those without a right row have none to follow.
+    order = [F.col("_source_seq"), *([F.col(RIGHT_SEQ)] if RIGHT_SEQ in gold.columns else [])]
+    gold = numbered(gold.withColumnRenamed(SEQ, "_source_seq"), order).drop("_source_seq", RIGHT_SEQ)
     if spec.split:
         gold = splits.ratio_split(gold, spec.split, spec.split_seed)
     elif spec.split_key:

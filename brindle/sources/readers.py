@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import itertools
 import json
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
 
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.operators.select import SEQ, numbered
+from brindle.operators.stable import kept
 from brindle.sources import infer
 
 
@@ -79,44 +82,61 @@ def file_lines(spark: SparkSession, path: str, name: str = SEQ) -> DataFrame:
     return numbered(raw, [F.col("_file"), F.col("_block"), F.col("_line")], name).select(name, "value")
 
 
+def _lines_of_records(raw: DataFrame) -> DataFrame:
+    """(file, at, line, f): the fields of each line of raw, which holds one record per line."""
+
+    def parse(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            got = [csv_records(line) for line in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([g[0] if g else None for g in got], pa.list_(pa.string()))], ["file", "block", "line", "f"])
+
+    placed = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
+    return placed.mapInArrow(parse, "file string, block long, line long, f array<string>").where("f is not null")
+
+
+def _whole_records(spark: SparkSession, path: str) -> DataFrame:
+    """The same of files in which a record may begin anywhere: each is read whole, by one task."""
+
+    def parse(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for file, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                got = csv_records(value)
+                for i in range(0, len(got), 10_000):
+                    some = got[i : i + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(some)), pa.array([0] * len(some), pa.int64()), pa.array(range(i, i + len(some)), pa.int64()), pa.array(some, pa.list_(pa.string()))], ["file", "block", "line", "f"])
+
+    texts = spark.read.text(path, wholetext=True)
+    return texts.select(F.col("_metadata.file_path").alias("file"), "value").mapInArrow(parse, "file string, block long, line long, f array<string>")
+
+
 def read_csv(spark: SparkSession, path: str, read_as: dict[str, str] | None = None) -> DataFrame:
-    """A CSV file with a header, each column typed by all of its values; _row_seq numbers the rows.
+    """A CSV file, or a folder of them in the order of their paths, each with the same header; each column is typed
+    by all of its values, and _row_seq numbers the rows.
 
-    Files that hold one record per line are read line by line on the executors; a file with quoted line breaks is
-    read whole, as a record may then begin anywhere.
+    Files that hold one record per line are read line by line on the executors; where any has quoted line breaks, a
+    record may begin anywhere, and each file is read whole by one task. Files with other headers are refused.
     """
     raw = spark.read.text(path)
-    head = raw.limit(1).collect()
-    if not head:
+    if not raw.limit(1).count():
         raise SourceError("the file is empty")
     uneven = raw.where((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1).limit(1).count()
-    if uneven:
-        text = spark.read.text(path, wholetext=True).first().value
-        rows = csv_records(text)
-        names, body = csv_names([c or "" for c in rows[0]]), rows[1:]
-        if any(len(r) > len(names) for r in body):
-            raise SourceError(f"record {next(i for i, r in enumerate(body) if len(r) > len(names)) + 2}: a field too many")
-        lines = spark.createDataFrame([(i, r + [None] * (len(names) - len(r))) for i, r in enumerate(body)], f"{SEQ} long, f array<string>")
-    else:
-        names = csv_names([c or "" for c in csv_records(head[0].value)[0]])
-        width = len(names)
-
-        def parse(batches):
-            import pyarrow as pa
-
-            for batch in batches:
-                out = []
-                for at, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    got = csv_records(line)
-                    if got and len(got[0]) > width:
-                        raise SourceError(f"line {at + 1}: a field too many")
-                    out.append(got[0] + [None] * (width - len(got[0])) if got else None)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], [SEQ, "f"])
-
-        parsed = file_lines(spark, path).mapInArrow(parse, f"{SEQ} long, f array<string>").where(f"{SEQ} > 0 and f is not null")
-        lines = numbered(parsed.select("f", F.col(SEQ).alias("_line")), [F.col("_line")]).drop("_line")
-    df = lines.select(SEQ, *(F.col("f")[i].alias(n) for i, n in enumerate(names)))
-    return typed(df, names, read_as)
+    records = kept(_whole_records(spark, path) if uneven else _lines_of_records(raw))
+    heads = records.groupBy("file").agg(F.min(F.struct("block", "line", "f")).alias("m"))
+    said = heads.select("m.f").distinct().limit(2).collect()
+    if len(said) != 1:
+        raise SourceError("the files have different headers" if said else "the file is empty")
+    # A header is cleared of the mark that a file may begin with before it is a record.
+    names = csv_names([c or "" for c in said[0].f])
+    body = records.join(heads.select("file", F.col("m.block").alias("hb"), F.col("m.line").alias("hl")), "file").where("not (block = hb and line = hl)")
+    wide = body.where(F.size("f") > len(names)).orderBy("file", "block", "line").limit(1).select("file").collect()
+    if wide:
+        raise SourceError(f"{wide[0].file}: a record has a field too many")
+    df = numbered(body.select("file", "block", "line", "f"), [F.col("file"), F.col("block"), F.col("line")])
+    return typed(df.select(SEQ, *(F.get("f", F.lit(i)).alias(n) for i, n in enumerate(names))), names, read_as)
 
 
 def typed(df: DataFrame, names: list[str], read_as: dict[str, str] | None = None) -> DataFrame:
@@ -142,16 +162,56 @@ def read_jsonl(spark: SparkSession, path: str, read_as: dict[str, str] | None =
     return infer.load(lines, read_as=read_as)
 
 
+#: Characters of one element of a JSON array at most.
+MAX_ELEMENT = 32 << 20
+
+
+def _elements(text: str) -> Iterator[str]:
+    """The texts of the objects of a top-level array."""
+    decoder, white = json.JSONDecoder(), re.compile(r"[ \t\n\r]*")
+    skip = lambda at: white.match(text, at).end()
+    at = skip(1 if text.startswith("\ufeff") else 0)
+    if text[at : at + 1] != "[":
+        raise ValueError("a JSON source is an array of objects")
+    at = skip(at + 1)
+    more = text[at : at + 1] != "]"
+    while more:
+        if text[at : at + 1] != "{":
+            raise ValueError(f"character {at}: an object is wanted")
+        end = decoder.raw_decode(text, at)[1]
+        if end - at > MAX_ELEMENT:
+            raise ValueError(f"character {at}: an element of more than {MAX_ELEMENT} characters")
+        yield text[at:end]
+        at = skip(end)
+        more = text[at : at + 1] == ","
+        at = skip(at + 1) if more else at
+    if text[at : at + 1] != "]" or skip(at + 1) != len(text):
+        raise ValueError(f"character {at}: not JSON")
+
+
 def read_json(spark: SparkSession, path: str, read_as: dict[str, str] | None = None) -> DataFrame:
-    """A top-level array of objects, in one file."""
-    text = spark.read.text(path, wholetext=True).first()
-    try:
-        found = json.loads(text.value if text else "")
-    except ValueError as error:
-        raise SourceError(f"not JSON: {error}") from error
-    if not isinstance(found, list) or any(not isinstance(r, dict) for r in found):
-        raise SourceError("a JSON source is an array of objects")
-    return infer.load(infer.records(spark, found), read_as=read_as)
+    """Top-level arrays of objects, a file or a folder of them in the order of their paths; a task reads a file whole."""
+
+    def parse(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for file, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found, bad = [], None
+                try:
+                    found = list(_elements(value))
+                except ValueError as error:
+                    found, bad = [], str(error)
+                n = max(1, len(found)) if bad else len(found)
+                yield pa.RecordBatch.from_arrays([pa.array([file] * n, pa.string()), pa.array(range(n), pa.int64()), pa.array(found if not bad else [None], pa.string()), pa.array([bad] * n, pa.string())], ["file", "at", "value", "bad"])
+
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    if not texts.limit(1).count():
+        raise SourceError("the file is empty")
+    found = kept(texts.mapInArrow(parse, "file string, at long, value string, bad string"))
+    if wrong := found.where("bad is not null").orderBy("file").limit(1).collect():
+        raise SourceError(f"{wrong[0].file}: {wrong[0].bad}")
+    return infer.load(numbered(found.select("file", "at", "value"), [F.col("file"), F.col("at")], "seq").select("seq", "value"), read_as=read_as)
 
 
 # -- Parquet
