@@ -1,22 +1,31 @@
 """SimHash near-duplicates, found by vantage-point trees over shards of fingerprints.
 
 Each text's shingles vote on every bit of its fingerprint. Texts with one fingerprint become one node at
-once (a count-free minimum, combined before the shuffle), so that copies cost nothing further.
-
-Links join nodes whose fingerprints differ in at most radius bits. A forest deals the nodes to shards:
-tree j partitions by the Hamming distance within block j of the bits, at radius 0. With more blocks than
-radius (the default) any linked pair agrees in a block, by the pigeonhole principle, so that the shards
-of the forest hold every linked pair and none overlaps. A shard is searched by a vantage-point tree on
-the whole fingerprints: a vantage point splits the rest at the median distance, rows within radius
-of the boundary are also looked up from the other side, and all else is pruned by the triangle bound. A shard
-emits a spanning forest of its links, never its pairs, and the links are closed by connected components.
-
-At larger radii blocks are too narrow to part anything. Then the nodes are dealt to groups of about GROUP_ROWS
-at most, and every two groups are one shard, in which all pairs are compared: exact at any radius, with work
-that grows with the square of the number of distinct fingerprints.
+once (combined before the shuffle), so that copies cost nothing further. Links join nodes whose fingerprints
+differ in at most radius bits.
+
+Small radii: a forest of radius + 1 trees. Tree j parts the nodes by the Hamming distance within block j of
+the bits, at radius 0: any linked pair agrees in a block (pigeonhole), so that the trees' shards, of about
+SHARD_ROWS nodes and of several values of the block each, hold every linked pair without overlap. A shard that
+one value makes larger than HEAVY_ROWS is parted on by the distances from two vantage points, in rings of
+radius + 1, and rows within radius of a ring's inner boundary also go to the ring inside: linked pairs, whose
+distances from a vantage point differ by radius at most (triangle bound), meet in the inner ring of either.
+
+Large radii (where blocks part nothing): two texts alike share most shingles. A node goes to a shard for each
+of MINS least shingle hashes under as many permutations; at a Jaccard index of 0.6 a pair meets nowhere with a
+probability of 0.4 to the twelfth, 2 in 100,000. A shard of more than HEAVY_ROWS nodes (a passage that many
+texts share) is parted on by each other least hash, and where that leaves as many, into groups of which every
+two meet: all its pairs are compared, by tasks of bounded size.
+
+A shard is searched by a vantage-point tree on the whole fingerprints: a vantage point splits the rest at the
+median distance, rows within radius of the boundary are also looked up from the other side, and all else is
+pruned by the triangle bound. A shard emits a spanning forest of its links, never its pairs, and the links are
+closed by connected components.
 
 Null and empty texts have the fingerprint zero, linked like any other. Rows are never dropped: copies of a
-row each appear in the result; a null doc_id is fingerprinted, but names no component.
+row each appear in the result. Nodes are fingerprints: rows of one doc_id with unlike texts stay apart, and rows
+without a doc_id link others, but name no component; a component of such rows alone has a null id. An empty
+table gives no rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -34,6 +43,11 @@ from brindle.llm.common import checkpointed, connected_components, small, small_
 SEED = 42
 #: Shards up to this size are compared as they are: the leaves of the vantage-point trees.
 LEAF = 64
+#: Nodes of a shard on average, and nodes beyond which a shard is parted on.
+SHARD_ROWS, HEAVY_ROWS = 2048, 8192
+#: Least hashes of a text's shingles that near-duplicates at large radii meet by.
+MINS = 12
+_ODD = np.random.default_rng(11).integers(1 << 62, 1 << 63, MINS, dtype=np.uint64) | np.uint64(1)
 
 
 def shingle_hashes(text: str | None, width: int, seeds: tuple[int, ...] = (SEED,), wide: bool = False) -> np.ndarray:
@@ -57,28 +71,49 @@ def n_words(seeds: tuple[int, ...], wide: bool) -> int:
     return len(seeds) * (2 if wide else 1)
 
 
-def fingerprint(text: str | None, width: int = 3, seeds: tuple[int, ...] = (SEED,), wide: bool = False) -> list[int]:
-    """Signed 64-bit words; a bit is 1 if it is set in over half of the shingles' hashes."""
-    hashes = shingle_hashes(text, width, seeds, wide)
+def _voted(hashes: np.ndarray, words: int) -> list[int]:
     if not len(hashes):
-        return [0] * n_words(seeds, wide)
-    votes = np.zeros(64 * n_words(seeds, wide), np.int64)
+        return [0] * words
+    votes = np.zeros(64 * words, np.int64)
     for at in range(0, len(hashes), 200):  # few enough to be summed in bytes
         votes += np.unpackbits(hashes[at : at + 200], axis=1).sum(0, dtype=np.uint8)
     return np.packbits(2 * votes > len(hashes)).view(">i8").tolist()
 
 
+def fingerprint(text: str | None, width: int = 3, seeds: tuple[int, ...] = (SEED,), wide: bool = False) -> list[int]:
+    """Signed 64-bit words; a bit is 1 if it is set in over half of the shingles' hashes."""
+    return _voted(shingle_hashes(text, width, seeds, wide), n_words(seeds, wide))
+
+
+def least_hashes(hashes: np.ndarray) -> list[int]:
+    """The least of the shingles' hashes under each of MINS permutations; zeros if there are none."""
+    if not len(hashes):
+        return [0] * MINS
+    x = np.ascontiguousarray(hashes[:, :8]).view("<u8")
+    least = np.full(MINS, np.iinfo(np.uint64).max)
+    for at in range(0, len(x), 4096):
+        least = np.minimum(least, (x[at : at + 4096] * _ODD).min(0))
+    return least.view(np.int64).tolist()
+
+
 def fingerprints(docs: DataFrame, width: int = 3, seeds: tuple[int, ...] = (SEED,), wide: bool = False) -> DataFrame:
-    """(doc_id, f0, f1, ...) of docs(doc_id, text), one row per row."""
+    """(doc_id, f0, f1, ..., and, if wide, mins) of docs(doc_id, text), one row per row."""
     n = n_words(seeds, wide)
     names = [f"f{i}" for i in range(n)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py(), width, seeds, wide) for t in batch.column("text")], np.int64).reshape(-1, n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(found[:, i]) for i in range(n))], ["doc_id", *names])
+            found, mins = np.zeros((batch.num_rows, n), np.int64), []
+            for i, t in enumerate(batch.column("text")):
+                hashes = shingle_hashes(t.as_py(), width, seeds, wide)
+                found[i] = _voted(hashes, n)
+                if wide:
+                    mins.append(least_hashes(hashes))
+            more = [pa.array(mins, pa.list_(pa.int64()))] if wide else []
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(found[:, i]) for i in range(n)), *more], ["doc_id", *names, *(["mins"] if wide else [])])
 
-    return small_batches(docs).select("doc_id", "text").mapInArrow(run, ", ".join([f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", *(f"{n} long" for n in names)]))
+    schema = ", ".join([f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", *(f"{n} long" for n in names), *(["mins array<long>"] if wide else [])])
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, schema)
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -86,23 +121,21 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class _Sets:
-    """Disjoint sets of 0 .. n - 1."""
+    """Disjoint sets of 0 .. n - 1, each named by its least member."""
 
     def __init__(self, n: int) -> None:
-        self.parent = list(range(n))
+        self.parent = np.arange(n)
 
-    def find(self, x: int) -> int:
-        while self.parent[x] != x:
-            self.parent[x] = self.parent[self.parent[x]]
-            x = self.parent[x]
-        return x
+    def roots(self, x: np.ndarray) -> np.ndarray:
+        up = self.parent[x]
+        while (above := self.parent[up], (above != up).any())[1]:
+            up = above
+        self.parent[x] = up
+        return up
 
     def join(self, x: int, others: np.ndarray) -> None:
-        x = self.find(x)
-        for y in others.tolist():
-            y = self.find(y)
-            if y != x:
-                self.parent[max(x, y)] = x = min(x, y)
+        roots = self.roots(np.append(others, x))
+        self.parent[roots] = roots.min()
 
 
 def tree_links(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,8 +160,9 @@ def tree_links(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]
         # A linked pair's distances from the vantage point differ by radius at most.
         todo.append((home[inside], np.concatenate([guests[far < bound + radius], home[~inside & (near < bound + radius)]])))
         todo.append((home[~inside], guests[far >= bound - radius]))
-    child = np.array([i for i, p in enumerate(sets.parent) if p != i], np.int64)
-    return child, np.array([sets.parent[i] for i in child.tolist()], np.int64)
+    least = sets.roots(np.arange(len(prints)))
+    child = np.flatnonzero(least != np.arange(len(prints)))
+    return child, least[child]
 
 
 def _stars(x: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,28 +180,6 @@ def _stars(x: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
     return child, least[child]
 
 
-def all_pairs(prints: np.ndarray, cut: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Stars, as index pairs, of the links of prints[:cut] with prints[cut:]; cut 0: of all prints with one another."""
-    found, held, end = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0, cut or len(prints)
-    columns = [np.ascontiguousarray(prints[:, w]) for w in range((prints.shape[1] + 1) // 2)]
-    for i in range(0, end, 128):
-        for j in range(cut or i, len(prints), 1024):
-            # What half of the bits differ in is a lower bound, and leaves few pairs to be compared in full.
-            low = sum(np.bitwise_count(c[i : min(i + 128, end), None] ^ c[None, j : j + 1024]).astype(np.uint16) for c in columns)
-            x, y = np.nonzero(low <= radius)
-            x, y = x + i, y + j
-            near = _distance(prints[x], prints[y]) <= radius
-            if not cut:
-                near &= x < y
-            if near.any():
-                found.append((x[near], y[near]))
-                held += int(near.sum())
-            if held > 2_000_000:
-                found = [_stars(*(np.concatenate(c) for c in zip(*found, strict=True)), len(prints))]
-                held = len(found[0][0])
-    return _stars(*(np.concatenate(c) for c in zip(*found, strict=True)), len(prints))
-
-
 def _shard_links(key: np.ndarray, prints: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links within the runs of equal key."""
     edge = np.flatnonzero(np.diff(key)) + 1
@@ -194,22 +206,10 @@ def _shard_links(key: np.ndarray, prints: np.ndarray, node: np.ndarray, radius:
     return np.concatenate(a), np.concatenate(b)
 
 
-def links(nodes: DataFrame, words: int, radius: int) -> DataFrame:
-    """(a, b) of nodes(node, f0, ...) that differ in at most radius bits: links that span each shard's groups.
-
-    There are radius + 1 blocks, which miss no pair.
-    """
-    bits, blocks = 64 * words, radius + 1
-    cuts = [bits * i // blocks for i in range(blocks + 1)]
-    masks = [list(range(x, y)) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+def _linked(dealt: DataFrame, words: int, radius: int) -> DataFrame:
+    """(a, b): links that span the groups of each shard of dealt(shard, f0, ..., node)."""
     names = [f"f{i}" for i in range(words)]
 
-    def value(mask: list[int]):
-        parts = [F.col(f"f{w}").bitwiseAND(m) for w in range(words) if (m := _signed(sum(1 << (b % 64) for b in mask if b // 64 == w)))]
-        return F.xxhash64(F.lit(mask[0]), F.lit(mask[-1]), F.lit(len(mask)), *parts)
-
-    dealt = nodes.select(F.explode(F.array(*map(value, masks))).alias("shard"), *names, "node").repartition("shard").sortWithinPartitions("shard", "node")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         held = 0
@@ -233,47 +233,58 @@ def links(nodes: DataFrame, words: int, radius: int) -> DataFrame:
         if kept and (out := flush(True)) is not None:
             yield out
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(run, "a long, b long")
 
 
-#: Groups of nodes that all pairs are compared by: as many at least, and of about so many rows at most.
-LEAST_GROUPS, GROUP_ROWS = 16, 65_536
+def links(nodes: DataFrame, words: int, radius: int, shard_rows: int = SHARD_ROWS, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """(a, b) of nodes(node, f0, ...) that differ in at most radius bits: links that span each shard's groups.
 
+    There are radius + 1 blocks, which miss no pair.
+    """
+    bits, blocks, names = 64 * words, radius + 1, [f"f{i}" for i in range(words)]
+    shards = max(1, -(-nodes.count() // shard_rows))
+    cuts = [bits * i // blocks for i in range(blocks + 1)]
+    masks = [list(range(x, y)) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
 
-def wide_links(nodes: DataFrame, words: int, radius: int) -> DataFrame:
-    """The same as links, by comparing all pairs: every two groups of nodes are one shard."""
-    names = [f"f{i}" for i in range(words)]
-    groups = max(LEAST_GROUPS, -(-nodes.count() // GROUP_ROWS))
-    group = nodes.select(F.pmod(F.xxhash64("node"), F.lit(groups)).alias("own"), *names, "node")
-    shards = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: F.least(g, F.col("own")) * groups + F.greatest(g, F.col("own")))
-    dealt = group.select(F.explode(shards).alias("shard"), "own", *names, "node").repartition("shard").sortWithinPartitions("shard", "own", "node")
+    def value(mask: list[int]):
+        parts = [F.col(f"f{w}").bitwiseAND(m) for w in range(words) if (m := _signed(sum(1 << (b % 64) for b in mask if b // 64 == w)))]
+        return F.struct(F.lit(mask[0]).alias("block"), F.pmod(F.xxhash64(F.lit(mask[0]), *parts), F.lit(shards)).alias("of"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        at = -1
+    dealt = nodes.select(F.explode(F.array(*map(value, masks))).alias("cell"), *names, "node")
+    prints = F.struct(*names)
+    sizes = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.min(prints).alias("v0"), F.max(prints).alias("v1"))
+    heavy = small(sizes.where(F.col("n") > heavy_rows).drop("n"))
+    met = dealt.join(heavy, "cell", "left")
 
-        def linked() -> pa.RecordBatch:
-            own, prints, node = (np.concatenate(x) for x in zip(*kept, strict=True))
-            first, last = divmod(at, groups)
-            cut = 0 if first == last else int(np.searchsorted(own, last))
-            # Rows of only one of two groups have met each other in that group's own shard.
-            a, b = all_pairs(prints, cut, radius) if first == last or 0 < cut < len(own) else (np.zeros(0, np.int64),) * 2
-            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+    def rings(vantage: str):
+        """The ring of a row's distance from a vantage point, and the one inside it if its rows may be linked."""
+        far = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(vantage)[n])) for n in names), F.lit(0))
+        ring = F.floor(far / (radius + 1))
+        return F.when(F.col(vantage).isNull(), F.array(F.lit(0).cast("long"))).when((far % (radius + 1) < radius) & (ring > 0), F.array(ring, ring - 1)).otherwise(F.array(ring))
+
+    parted = met.withColumn("r0", F.explode(rings("v0"))).withColumn("r1", F.explode(rings("v1")))
+    return _linked(parted.select(F.xxhash64("cell", "r0", "r1").alias("shard"), *names, "node"), words, radius)
 
-        for batch in batches:
-            c = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("shard", "own", *names, "node")}
-            prints = np.stack([c[n] for n in names], 1).astype(np.int64).view(np.uint64)
-            edges = [0, *(np.flatnonzero(np.diff(c["shard"])) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
-            for x, y in zip(edges[:-1], edges[1:], strict=True):
-                if kept and c["shard"][x] != at:
-                    yield linked()
-                    kept = []
-                at = int(c["shard"][x])
-                kept.append((c["own"][x:y], prints[x:y], c["node"][x:y]))
-        if kept:
-            yield linked()
 
-    return dealt.mapInArrow(run, "a long, b long")
+def wide_links(nodes: DataFrame, words: int, radius: int, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """The same for large radii, of nodes(node, f0, ..., mins) that have a least shingle hash in common."""
+    names = [f"f{i}" for i in range(words)]
+
+    def parted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """rows(shard, mins, ...) of shards that are small enough, and the others, with n."""
+        heavy = rows.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > heavy_rows)
+        met = rows.join(small(heavy), "shard", "left")
+        return met.where("n is null").drop("n"), met.where("n is not null")
+
+    by = lambda *more: F.transform("mins", lambda x, i: F.xxhash64(*more, i, x))
+    once, many = parted(nodes.select(F.explode(by()).alias("shard"), "mins", *names, "node"))
+    twice, many = parted(many.select(F.explode(by(F.col("shard"))).alias("shard"), "mins", *names, "node"))
+    # What shares two least hashes with so many is met group by group: a row goes to each pair that its group is of.
+    groups = F.ceil(2 * F.col("n") / heavy_rows).cast("int")
+    own = many.withColumn("groups", groups).withColumn("own", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int"))
+    every = own.withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    thrice = every.select(F.xxhash64("shard", F.least("g", "own"), F.greatest("g", "own")).alias("shard"), *names, "node")
+    return _linked(once.drop("mins").unionByName(twice.drop("mins")).unionByName(thrice), words, radius)
 
 
 def _signed(x: int) -> int:
@@ -285,10 +296,15 @@ def grouped(docs: DataFrame, width: int = 3, radius: int = 3, seeds: tuple[int,
     n = n_words(seeds, wide)
     names = [f"f{i}" for i in range(n)]
     prints = checkpointed(fingerprints(docs, width, seeds, wide))
-    nodes = prints.groupBy(*names).agg(F.min("doc_id").alias("node"))
-    found = connected_components((wide_links if wide else links)(nodes.where("node is not null"), n, radius))
-    named = nodes.join(found, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, names)
+    known = prints.groupBy(*names).agg(F.min("doc_id").alias("least"), *([F.min("mins").alias("mins")] if wide else []))
+    # Numbers rise with the nodes' smallest doc_id, those without any last; kept, so that they are given only once.
+    order = [F.col("least").asc_nulls_last(), *names]
+    nodes = checkpointed(known.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id()))
+    found = connected_components((wide_links if wide else links)(nodes, n, radius))
+    first = nodes.join(found.where("node = component").select("node"), "node", "left_semi").select(F.col("node").alias("component"), F.col("least").alias("named"))
+    named = found.join(small(first), "component").select("node", "named")
+    linked = nodes.join(named, "node", "left").select(*names, F.when(F.col("named").isNull(), F.col("least")).otherwise(F.col("named")).alias("component_id"))
+    return prints.join(linked, names).select("doc_id", *names, "component_id")
 
 
 #: Wide fingerprints: 256 bits, of two seeds.
@@ -296,11 +312,7 @@ WIDE_SEEDS = (42, 43)
 
 
 def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, f0, ..., f3, component_id): groups of texts whose fingerprints agree in similarity of their bits.
-
-    At such a radius no partition of the Hamming space is exact and small, so that all pairs of distinct
-    fingerprints are compared: every pair within the radius is found, and the work grows with their square.
-    """
+    """(doc_id, f0, ..., f3, component_id): groups of texts whose fingerprints agree in similarity of their bits."""
     return grouped(docs, width, int(64 * n_words(WIDE_SEEDS, True) * (1 - similarity) + 1e-9), WIDE_SEEDS, True)
 
 
@@ -315,5 +327,6 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row of documents: the fingerprint of its text and the smallest doc_id that links lead to."""
     found = grouped(table(spark, sf_dir, "documents", spread="doc_id"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")

@@ -107,3 +107,67 @@ def test_every_pair_at_the_radius_itself_is_found(spark):
         old, new = max(group[a], group[b]), min(group[a], group[b])
         group = [new if g == old else g for g in group]
     assert {x.doc_id: x.component_id for x in near_groups(documents(spark, texts)).collect()} == dict(enumerate(group))
+
+
+def test_rows_without_an_id_link_others_and_ids_may_repeat(spark, tmp_path):
+    from brindle.llm import simhash
+
+    words = [f"w{i}" for i in range(60)]
+    far = [" ".join(f"z{j}" for j in range(i, i + 30)) for i in (100, 200)]
+    # A chain of texts whose ends are not linked: the middle ones have no doc_id.
+    chain, prints = [" ".join(words)], [brute_print(" ".join(words))]
+    r = random.Random(3)
+    while len(chain) < 4:
+        t = chain[-1].split()
+        t[r.randrange(60)] = f"n{r.randrange(10**6)}"
+        p = brute_print(" ".join(t))
+        if 0 < (p ^ prints[-1]).bit_count() <= 3:
+            chain.append(" ".join(t))
+            prints.append(p)
+    rows = [(1, far[0]), (1, far[1]), (9, chain[0]), (None, chain[1]), (None, chain[2]), (3, chain[3]), (None, "alone with no id at all")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.fingerprint, r.doc_id is None, r.component_id) for r in op9_simhash(spark, save(df, tmp_path)).collect())
+    group = brute_groups({i: brute_print(t) for i, (_, t) in enumerate(rows)})
+    least = {g: min((rows[i][0] for i in group if group[i] == g and rows[i][0] is not None), default=None) for g in set(group.values())}
+    assert got == sorted((f"{brute_print(t):016x}", d is None, least[group[i]]) for i, (d, t) in enumerate(rows))
+    assert least[group[2]] == 3 and simhash.grouped(df.limit(0)).count() == 0
+
+
+def _closed(n, found):
+    group = list(range(n))
+    for a, b in found:
+        old, new = max(group[a], group[b]), min(group[a], group[b])
+        if old != new:
+            group = [new if g == old else g for g in group]
+    return group
+
+
+def test_heavy_shards_are_parted_by_rings_and_lose_no_link(spark):
+    from brindle.llm.simhash import links
+
+    r = np.random.default_rng(6)
+    core = np.uint64(0x0123456789ABCDEF)
+    near = [int(core ^ np.uint64(sum(1 << int(b) for b in r.choice(48, int(r.integers(0, 9)), replace=False)))) for _ in range(500)]
+    prints = sorted({*near, *(int(x) for x in r.integers(0, 1 << 63, 300, dtype=np.uint64))})
+    want = brute_groups(dict(enumerate(prints)))
+    nodes = spark.createDataFrame([(i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(prints)], "node long, f0 long")
+    for shard_rows, heavy_rows in ((2048, 8192), (100, 40), (30, 1)):
+        found = [tuple(x) for x in links(nodes, 1, 3, shard_rows, heavy_rows).collect()]
+        assert _closed(len(prints), found) == [want[i] for i in range(len(prints))]
+
+
+def test_heavy_shards_of_wide_fingerprints_lose_no_link(spark):
+    from brindle.llm.simhash import fingerprints, wide_links
+
+    r = random.Random(8)
+    passage = [f"common{i}" for i in range(40)]
+    texts = [" ".join([*passage, *(f"own{r.randrange(10**6)}" for _ in range(r.randint(2, 60)))]) for _ in range(120)]
+    texts += [t.replace("own1", "own2", 1) for t in texts[:60]]
+    rows = fingerprints(documents(spark, texts), 5, (42, 43), True).withColumnRenamed("doc_id", "node").collect()
+    prints = {x.node: np.array([x.f0, x.f1, x.f2, x.f3]).view(np.uint64) for x in rows}
+    pairs = [(a, b) for a in prints for b in prints if a < b and np.bitwise_count(prints[a] ^ prints[b]).sum() <= 51]
+    nodes = spark.createDataFrame(rows)
+    assert len(pairs) > 60
+    for heavy_rows in (8192, 50, 10):
+        found = [tuple(x) for x in wide_links(nodes, 4, 51, heavy_rows).collect()]
+        assert _closed(len(texts), found) == _closed(len(texts), pairs), heavy_rows
