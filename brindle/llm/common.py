@@ -18,11 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: str | None = None
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as spark.checkpoint.dir names it.
 
-    Where the setting is absent (tests on one machine) a temporary folder takes its place.
+    Where the setting is absent, one machine (tests) takes a temporary folder; a cluster has to name one.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='brindle-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     if context._jsc.sc().getCheckpointDir().isEmpty():

@@ -16,7 +16,7 @@ Words and pairs are counted by 64-bit hashes of their own, never by shared slots
 grows with the distinct expressions of the labelled rows. The discount for pairs is taken in Spark; the model
 shipped to executors holds every counted word (all of them have a likelihood) and, of the pairs, only those
 that depart from the shared count. Null and empty texts score as texts of no
-words. Several labels of one doc_id: toxic if any says so; null labels are ignored. Without a toxic and an
+words. Copies of a labelled row count as often as they stand there. Several labels of one doc_id: toxic if any says so; null labels are ignored. Without a toxic and an
 ordinary training row there is nothing to compare, and every score is 0.
 """
 
@@ -29,7 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.common import checkpointed, small, small_batches, table
@@ -203,10 +203,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     order = np.argsort(pair)
     model = Model(word, toxic.astype(np.float32), ordinary.astype(np.float32), unknown, pair[order], gain[order].astype(np.float32))
     seen = measured(docs.select("doc_id", "text").join(small(held), "doc_id"), model, "toxic int").select("mean", "window", "toxic").toArrow().to_pandas()
-    if seen.toxic.nunique() == 2:
-        model.curve = _logistic(seen[["mean", "window"]].to_numpy(), seen.toxic.to_numpy(float))
-    else:
-        model.curve = (-4.0, 0.0, 10.0)
+    if seen.toxic.nunique() < 2:
+        # Too few rows to set some aside: as many of the counted ones take their place, of each class by itself.
+        part = known.withColumn("n", F.count("*").over(Window.partitionBy("toxic"))).where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(CALIBRATION_ROWS // 2) * 1_000_000 / F.col("n")).drop("n")
+        seen = measured(docs.select("doc_id", "text").join(small(part), "doc_id"), model, "toxic int").select("mean", "window", "toxic").toArrow().to_pandas()
+    model.curve = _logistic(seen[["mean", "window"]].to_numpy(), seen.toxic.to_numpy(float))
     return model
 
 
@@ -253,5 +254,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row of documents: its score, and 1 where that is 0.5 or more.
+
+    Equal texts have equal scores, whatever their ids. Rows without a doc_id are scored, and in no fold.
+    """
     scored = score(table(spark, sf_dir, "documents", spread="doc_id"), table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", (_fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "ll_toxic", "ll_ordinary")
+    return scored.select("doc_id", F.coalesce(_fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "ll_toxic", "ll_ordinary")

@@ -96,3 +96,17 @@ def test_rows_beyond_the_calibration_sample_are_counted(spark, monkeypatch):
     counted = [i for i in fourth if word_hashes(f"only{i}")[0] in model.words]
     assert 0 < len(fourth) - len(counted) < 40 and counted
     assert all((word_hashes(f"only{i}")[0] in model.words) == (folds(i) != 0) for i in range(300) if folds(i) != 4)
+
+
+def test_rows_without_an_id_repeated_rows_and_small_label_sets(spark, tmp_path):
+    texts, labels = corpus(300)
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(None, texts[0], "en", "s", 1), (5, texts[5], "en", "s", 1), (5, "vilex grumby", "en", "s", 1), (None, None, None, None, None)]
+    where = save(spark.createDataFrame(rows, documents(spark, ["a"]).schema), tmp_path)
+    # No row of fold 4 is labelled: the counted rows set the curve.
+    save(spark.createDataFrame([x for x in labels if folds(x[0]) != 4], "doc_id long, quality int, toxic int"), tmp_path, "labels")
+    got = op8_toxicity(spark, where).collect()
+    assert len(got) == len(rows) and all(r.held_out == (r.doc_id is not None and folds(r.doc_id) == 0) for r in got)
+    same = [r.score for r in got if r.doc_id in (0, None)]
+    assert len(set(same)) == 2 and min(x.score for x in got) >= 0
+    held = [(r.predicted, labels[r.doc_id][2]) for r in got[:300] if r.doc_id is not None and folds(r.doc_id) == 0]
+    assert sum(p == y for p, y in held) / len(held) > 0.9
