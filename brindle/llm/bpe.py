@@ -38,9 +38,9 @@ from brindle.llm.common import small_batches, table
 
 DEFAULT_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Words kept per Python worker, and the length beyond which a word is not kept.
-CACHE_WORDS, CACHE_LENGTH = 200_000, 48
+CACHE_WORDS, CACHE_LENGTH = 110_000, 48
 #: States that the determinised automaton holds at a time.
-STATES = 300_000
+STATES = 160_000
 
 
 def byte_alphabet() -> dict[str, int]:

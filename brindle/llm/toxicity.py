@@ -205,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     seen = measured(docs.select("doc_id", "text").join(small(held), "doc_id"), model, "toxic int").select("mean", "window", "toxic").toArrow().to_pandas()
     if seen.toxic.nunique() < 2:
         # Too few rows to set some aside: as many of the counted ones take their place, of each class by itself.
-        part = known.withColumn("n", F.count("*").over(Window.partitionBy("toxic"))).where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(CALIBRATION_ROWS // 2) * 1_000_000 / F.col("n")).drop("n")
+        part = known.withColumn("n", F.count("*").over(Window.partitionBy("toxic"))).where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(CALIBRATION_ROWS // 2 * 1e6) / F.col("n")).drop("n")
         seen = measured(docs.select("doc_id", "text").join(small(part), "doc_id"), model, "toxic int").select("mean", "window", "toxic").toArrow().to_pandas()
     model.curve = _logistic(seen[["mean", "window"]].to_numpy(), seen.toxic.to_numpy(float))
     return model
