@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import small_batches, table
+from brindle.llm.common import release_memory, small_batches, table
 
 DEFAULT_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Words kept per Python worker, and the length beyond which a word is not kept.
@@ -234,6 +234,7 @@ def _with(df: DataFrame, fields: list[T.StructField], work) -> DataFrame:
     schema = T.StructType([*df.schema.fields, *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 yield work(batch.slice(at, 512))
@@ -276,6 +277,7 @@ def round_trip(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame
     schema = T.StructType([df.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         m = automaton(model.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,6 +96,17 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def release_memory() -> None:
+    """Gives back to the system what this process has freed, in a Python worker that earlier stages have used.
+
+    Workers are reused from stage to stage, and allocators keep what was freed; without glibc only Arrow's pool is emptied.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 #: Up to so many rows a table of keys and small values is broadcast; a larger one is joined by shuffling.
 BROADCAST_ROWS = 1_000_000
 

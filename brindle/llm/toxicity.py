@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import checkpointed, small, small_batches, table
+from brindle.llm.common import checkpointed, release_memory, small, small_batches, table
 
 #: least + spread * sqrt(shared count): the discount of single words and of pairs.
 WORD_DISCOUNT, PAIR_DISCOUNT = (2.0, 3.0), (8.0, 4.0)
@@ -150,6 +150,8 @@ def _counted(labelled: DataFrame) -> DataFrame:
                 t = np.bincount(where, np.concatenate(toxic), len(pair)).astype(np.int64)
                 o = np.bincount(where, minlength=len(pair)).astype(np.int64) - t
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(words)[first], pair, o, t)], ["word", "pair", "o", "t"])
+        _ids.clear()
+        release_memory()
 
     counts = small_batches(labelled).select("text", "toxic").mapInArrow(run, "word long, pair long, o long, t long")
     return counts.groupBy("word", "pair").agg(F.sum("o").alias("o"), F.sum("t").alias("t"))
@@ -223,6 +225,7 @@ def measured(df: DataFrame, model: Model, more: str = "") -> DataFrame:
             found = np.array([m.features(t.as_py()) for t in batch.column("text")]).reshape(-1, 4)
             score = np.array([m.score(x[2], x[3]) for x in found], dtype=float)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *(pa.array(found[:, i]) for i in range(4)), pa.array(score)], [*keep, *names])
+        _ids.clear()
 
     schema = ", ".join([f"doc_id {df.schema['doc_id'].dataType.simpleString()}", *([more] if more else []), *(f"{x} double" for x in names)])
     return small_batches(df).select(*keep, "text").mapInArrow(run, schema)
@@ -249,6 +252,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             keep = [m.score(*m.features(t.as_py())[2:]) < 0.5 for t in batch.column("text")]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        _ids.clear()
+        release_memory()
 
     return small_batches(docs).mapInArrow(run, docs.schema)
 
