@@ -12,8 +12,11 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from brindle.plans import dialect as duck
+
 NAME, MAX_BYTES = "dataset", 64 * 1024
 # Node kinds of a parsed query that only reads.
 ALLOWED = frozenset("Project Filter Distinct Union Intersect Except Aggregate UnresolvedHaving Sort GlobalLimit LocalLimit Offset Join LateralJoin SubqueryAlias UnresolvedRelation UnresolvedWith WithWindowDefinition UnresolvedSubqueryColumnAliases Pivot Unpivot".split()) - {"LateralJoin"}
@@ -105,16 +108,52 @@ def validate(spark: SparkSession, sql: str) -> None:
         raise UnsafeQueryError(f"the result does not rest on {NAME}")
 
 
-def run(df: DataFrame, sql: str, masked: tuple[str, ...] = ()) -> DataFrame:
-    """The result of sql over df, of which the columns masked are masked before any expression sees them."""
+def run(df: DataFrame, sql: str, masked: tuple[str, ...] = (), dialect: str = "spark") -> DataFrame:
+    """The result of sql over df, of which the columns masked are masked before any expression sees them.
+
+    dialect names the SQL that the statement is written in, spark or duckdb; what is run has passed validate() either way.
+    """
     from brindle.functions import pii
 
-    validate(df.sparkSession, sql)
+    if dialect not in ("spark", "duckdb"):
+        raise ValueError(f"no dialect {dialect}")
     view = pii.mask(df, list(masked)) if masked else df
+    if dialect == "spark":
+        validate(df.sparkSession, sql)
     view.createOrReplaceTempView(NAME)
+    if dialect == "duckdb":
+        sql = translated(df.sparkSession, sql)
+        validate(df.sparkSession, sql)
     return df.sparkSession.sql(nulls_last(df.sparkSession, sql))
 
 
+def translated(spark: SparkSession, sql: str) -> str:
+    """sql of DuckDB's dialect in Spark's; where types or columns matter they are asked of the view dataset.
+
+    Nothing is run for that, and nothing is analysed that validate() would refuse.
+    """
+    if len(sql.encode()) > MAX_BYTES:
+        raise UnsafeQueryError("the statement is too long")
+
+    def columns(query: str) -> list[str]:
+        validate(spark, query)
+        return spark.sql(query).columns
+
+    def typed(expression: str) -> str | None:
+        # Names of a lambda, of an alias or of a subquery are not known here; the caller then takes the usual case.
+        query = f"SELECT {expression} AS x FROM {NAME}"
+        try:
+            validate(spark, query)
+            return spark.sql(query).schema["x"].dataType.simpleString()
+        except (UnsafeQueryError, AnalysisException):
+            return None
+
+    try:
+        return duck.to_spark(sql, typed, columns)
+    except duck.DialectError as error:
+        raise UnsafeQueryError(str(error)) from error
+
+
 def nulls_last(spark: SparkSession, sql: str) -> str:
     """sql with NULLS LAST behind every sort key that says nothing: at the places the parser reports for them."""
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql.strip().rstrip(";"))

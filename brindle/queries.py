@@ -451,6 +451,33 @@ _both("sql_order_nulls_last", "events", "SELECT event_id, e, row_number() OVER (
       "SELECT event_id, e, row_number() OVER (PARTITION BY user_id ORDER BY e NULLS LAST, event_id) AS up, row_number() OVER (PARTITION BY user_id ORDER BY e DESC NULLS LAST, event_id) AS down FROM (SELECT *, nullif(event_type, 'error') AS e FROM dataset)")
 
 
+# -- H26, E5, G2: the same text on both engines, in DuckDB's dialect
+
+
+def _duck(name: str, table: str, statement: str) -> None:
+    query(statement.replace("dataset", table), name)(lambda spark, d: validator.run(t(spark, d, table), statement, dialect="duckdb"))
+
+
+_duck("duck_qualify", "orders", "SELECT o_orderkey, o_custkey, o_totalprice FROM dataset QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1")
+_duck("duck_qualify_groups", "orders", "SELECT o_custkey, count(*) AS n, rank() OVER (ORDER BY count(*) DESC) AS r FROM dataset GROUP BY o_custkey QUALIFY r <= 100 ORDER BY sum(o_totalprice)")
+_duck("duck_union_by_name", "customer", "WITH a AS (SELECT c_custkey AS k, c_name AS n FROM dataset) SELECT * FROM a UNION ALL BY NAME SELECT c_mktsegment AS s, c_nationkey AS k FROM dataset")
+_duck("duck_exclude", "customer", "SELECT * EXCLUDE (c_name, c_acctbal) FROM dataset")
+_duck("duck_unnamed", "part", "SELECT count(*), sum(p_size), max(p_name), min(p_retailprice) FROM dataset")
+_duck("duck_strings", "part", """SELECT p_partkey, concat(p_name, NULL, '!', p_size) AS c, len(p_name) AS n, strlen(p_name) AS b, p_name[2:4] AS s, starts_with(p_name, 'a') AS st, strpos(p_name, 'e') AS e, len(string_split(p_name, ' ')) AS w, string_split(p_name, ' ')[-1] AS w2,
+lpad(p_brand, 12, '*') AS l, position('e' IN p_name) AS pos, ltrim(p_name, 'abc') AS lt, 'it''s \\d' AS q, levenshtein(p_name, p_type) AS lv, sha256(p_name) AS sh, "p_type" AS "Type" FROM dataset""")
+_duck("duck_regex", "part", r"""SELECT p_partkey, regexp_replace(p_name, '[aeiou]', '*') AS one, regexp_replace(p_name, '([aeiou])(.)', '\2\1', 'g') AS every, regexp_replace(p_name, '([aeiou])(.)', '<\2$\1>') AS turned, regexp_matches(p_name, '^[a-m]') AS m, regexp_full_match(p_name, '[a-z ]+') AS f,
+regexp_extract(p_type, '[A-Z]+$') AS x, regexp_extract(p_type, '(\w+) (\w+)', 2) AS g, len(regexp_extract_all(p_name, '[aeiou]')) AS vowels, regexp_matches(p_type, 'STANDARD|promo', 'i') AS i FROM dataset""")
+_duck("duck_dates", "orders", """SELECT o_orderkey, strftime(o_orderdate, '%Y/%m at %H:%M') AS s, date_diff('month', o_orderdate, TIMESTAMP '1999-01-15 00:00:00') AS mo, date_diff('week', o_orderdate, TIMESTAMP '1999-01-15 00:00:00') AS wk, datediff('day', o_orderdate::DATE, DATE '1999-01-15') AS dd, dayofweek(o_orderdate) AS dw, isodow(o_orderdate) AS iso,
+date_trunc('month', o_orderdate)::VARCHAR AS mt, (o_orderdate::DATE + INTERVAL 1 MONTH)::VARCHAR AS nx, o_orderdate::DATE + 40 AS later, extract(dow FROM o_orderdate) AS ed, dayname(o_orderdate) AS dn, monthname(o_orderdate) AS mn, epoch(o_orderdate) AS ep FROM dataset""")
+_duck("duck_math", "part", "SELECT p_partkey, p_size / 4 AS d0, p_size / (p_partkey % 3 + 1) AS d1, p_size // 7 AS d2, p_size % 7 AS m, p_size ** 2 AS sq, (p_retailprice + 0.5)::INT AS i, round(log(p_retailprice), 6) AS lg, round(ln(p_retailprice), 6) AS l1, ceil(p_retailprice) AS c, floor(p_retailprice) AS f, trunc(p_retailprice) AS t FROM dataset")
+_duck("duck_lists", "embeddings", """SELECT vec_id, len(embedding) AS n, embedding[-1] AS z, embedding[0] AS nothing, len(embedding[2:4]) AS s, len(list_filter(embedding, lambda x: x > 0)) AS pos, list_contains([1, 2, vec_id], 7) AS c, array_to_string(list_sort([3, vec_id]), '-') AS so, list_position(['a', 'b'], 'c') AS lp, list_unique([1, 1, vec_id]) AS lu,
+list_reduce([1, 2, vec_id], lambda x, y: x + y) AS lr, array_to_string(list_transform(embedding[1:3], lambda x: x > 0), ',') AS t FROM dataset""")
+_duck("duck_json", "events", "SELECT event_id, json_extract_string(props, '$.k') AS k, props->>'$.k' AS k2, json_extract(props, '$.k')::VARCHAR AS k3, json_extract_string(props, 'k')::BIGINT + 1 AS k4, json_valid(props) AS v FROM dataset")
+_duck("duck_structs_maps", "nation", "SELECT n_nationkey, {'a': n_regionkey, 'b': n_name}.b AS b, struct_pack(x := n_name).x AS sx, MAP {'x': n_nationkey}['x'] AS x, map(['p', 'q'], [1, n_nationkey])['q'] AS mq FROM dataset")
+_duck("duck_aggregates", "events", """SELECT event_type, arg_max(event_id, value) AS am, arg_min(event_id, value) AS an, round(quantile_cont(value, 0.25), 6) AS q, quantile_disc(value, 0.5) AS qd, count(DISTINCT user_id) AS u, string_agg(DISTINCT event_type, ';') AS sa, array_to_string(list(event_id ORDER BY value DESC, event_id DESC)[1:3], ',') AS top,
+sum(user_id)::BIGINT AS su, count_if(value > 50)::BIGINT AS ci, count(*) FILTER (value > 50) AS fl FROM dataset GROUP BY ALL""")
+
+
 @query("SELECT c_custkey AS k, c_name AS n, NULL AS s FROM customer UNION ALL SELECT s_suppkey, NULL, s_name FROM supplier")
 def union_by_name(spark: SparkSession, d: str) -> DataFrame:
     a = t(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("n"))
