@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.functions import casts, derive, pii, wire
-from brindle.operators import aggregate, history, joins, provenance, quality, rows, select, splits, summary
+from brindle.functions import casts, derive, legacy, pii, wire
+from brindle.operators import aggregate, history, joins, provenance, quality, rows, select, splits, summary, warehouse
 from brindle.operators.stable import shared_folder
 from brindle.plans import build, spec, validator
-from brindle.sources import infer, readers, sinks
+from brindle.sources import infer, readers, sinks, tagged
+from brindle.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -563,4 +564,166 @@ def silver_contract(spark: SparkSession, d: str) -> DataFrame:
     contract = spec.Contract(null_tokens=("BUILDING",), rename={"seg": "segment"}, zfill={"code": 3}, casts={"c_custkey": "int"}, join_keys={"key": ("code", "c_name")})
     return build.normalize(c, contract).drop("c_name")
 
+
+# -- K, L, A22-A27, F2, F5, H27, H28, I5, I6, I9, O: stored tables, streams, layouts, pages and builds, over whole tables
+
+
+def _warehouse(spark: SparkSession) -> warehouse.Warehouse:
+    """A new one beside what the cluster shares; its catalogue is a file, so that the folder has to be a mounted one."""
+    at = _folder(spark, "warehouse")
+    if "://" in at and not at.startswith("file://"):
+        raise ValueError(f"a warehouse needs a mounted folder, not {at}")
+    return warehouse.Warehouse(spark, at.removeprefix("file://"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate FROM orders")
+def warehouse_current(spark: SparkSession, d: str) -> DataFrame:
+    """The second snapshot is the current one; an empty third leaves the table as it is."""
+    w, o = _warehouse(spark), t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    w.materialize(o.where("o_custkey % 2 = 0"), "orders")
+    w.materialize(o, "orders", expected_revision=1)
+    w.materialize(o.limit(0), "orders")
+    return w.read("orders")
+
+
+@query("SELECT 1 AS version, c_custkey, c_mktsegment FROM customer WHERE c_mktsegment <> 'BUILDING' UNION ALL SELECT 2, c_custkey, c_mktsegment FROM customer")
+def warehouse_time_travel(spark: SparkSession, d: str) -> DataFrame:
+    w, c = _warehouse(spark), t(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    first, second = w.materialize(c.where("c_mktsegment <> 'BUILDING'"), "customer"), w.materialize(c, "customer")
+    return w.read("customer", first.snapshot_id).select(F.lit(1).alias("version"), "*").unionByName(w.read("customer", second.snapshot_id).select(F.lit(2).alias("version"), "*"))
+
+
+@query("SELECT l_returnflag, count(*) AS n, max(l_extendedprice) AS high FROM lineitem WHERE l_linestatus = 'F' GROUP BY l_returnflag")
+def warehouse_analysis(spark: SparkSession, d: str) -> DataFrame:
+    """A kept statement answers from the snapshot that it was asked of, after others have followed and been collected."""
+    w, lines = _warehouse(spark), t(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice")
+    w.materialize(lines.where("l_linestatus = 'F'"), "lineitem")
+    kept = w.save_analysis("by flag", "SELECT l_returnflag, count(*) AS n, max(l_extendedprice) AS high FROM dataset GROUP BY l_returnflag", "lineitem")
+    w.materialize(lines, "lineitem")
+    w.collect(keep=1)
+    return w.run_analysis(kept)
+
+
+@query("SELECT p_partkey, p_name, p_retailprice FROM part")
+def warehouse_backup(spark: SparkSession, d: str) -> DataFrame:
+    w = _warehouse(spark)
+    w.materialize(t(spark, d, "part").select("p_partkey", "p_name", "p_retailprice"), "part")
+    copy = w.backup(w.root.with_name(f"{w.root.name}-copy"))
+    return warehouse.restore(spark, copy, w.root.with_name(f"{w.root.name}-back")).read("part")
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_hourly_counts(spark: SparkSession, d: str) -> DataFrame:
+    """One run over all that has arrived; the counts of a later batch replace those of an earlier."""
+    at = _folder(spark, "stream")
+    stream = ingest.read_stream(spark, f"{d}/event[s].parquet", t(spark, d, "events").schema)
+    counted = ingest.hourly_counts(stream, "ts", "event_type")
+    done = counted.writeStream.outputMode("complete").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{at}/counts")).start()
+    done.awaitTermination()
+    return spark.read.parquet(f"{at}/counts").select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
+
+
+@query("SELECT event_id, event_type, value::VARCHAR::DOUBLE AS value FROM events")
+def stream_appends(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of a stream, cast on the way into a folder of batches."""
+    at = _folder(spark, "stream")
+    stream = ingest.read_stream(spark, f"{d}/event[s].parquet", t(spark, d, "events").schema)
+    texts = stream.select("event_id", "event_type", F.col("value").cast("string").alias("value"))
+    ingest.append_batches(texts, f"{at}/rows", f"{at}/state", {"value": "float"}).awaitTermination()
+    return spark.read.parquet(f"{at}/rows").select("event_id", "event_type", "value")
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def hub_layout(spark: SparkSession, d: str) -> DataFrame:
+    at = _folder(spark, "hub")
+    sinks.write_hub_layout(t(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal"), at, "Suppliers")
+    return readers.read_table(spark, f"{at}/data")
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal, row_number() OVER (ORDER BY s_suppkey) - 1 AS _row_seq FROM supplier")
+def competition_layout(spark: SparkSession, d: str) -> DataFrame:
+    at = _folder(spark, "competition")
+    sinks.write_competition_layout(t(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal").orderBy("s_suppkey"), at, "Suppliers", "CC0-1.0")
+    return readers.read_csv(spark, f"{at}/data.csv")
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE false")
+def empty_like(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(str(sinks.empty_like(t(spark, d, "orders").select("o_orderkey", "o_orderstatus"), f"{_folder(spark, 'empty')}/orders.parquet")))
+
+
+@query("SELECT count(*)::BIGINT AS rows, count_if(left(s, 1) IN ('=', '+', '-', '@'))::BIGINT AS altered FROM (SELECT CASE c_custkey % 3 WHEN 0 THEN '=' WHEN 1 THEN '@' ELSE '' END || c_name AS s FROM customer)")
+def export_result(spark: SparkSession, d: str) -> DataFrame:
+    marked = t(spark, d, "customer").select("c_custkey", F.concat(F.element_at(F.array(F.lit("="), F.lit("@"), F.lit("")), (F.col("c_custkey") % 3 + 1).cast("int")), "c_name").alias("s"))
+    done = sinks.export_result(marked, f"{_folder(spark, 'export')}/customer.csv", profile="spreadsheet", max_rows=2**31 - 2, max_bytes=1 << 62)
+    return spark.createDataFrame([(done["rows"], done["altered_cells"])], "rows long, altered long")
+
+
+@query("SELECT least(count(*), 500)::BIGINT AS rows, count(*)::BIGINT AS total, count(*) > 500 AS more, least(count(*) FILTER (o_totalprice > 1000), 500)::BIGINT AS filtered, count(*) FILTER (o_totalprice > 1000) > 500 AS more_filtered FROM orders")
+def page_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The largest page (its rows are a page's, the count is the table's), and one behind a filter, which is not counted."""
+    o = t(spark, d, "orders")
+    found, total, more = rows.read_page(o, rows.RowsPlan(columns=("o_orderkey",), limit=500), "o_orderkey")
+    some, none, more_some = rows.read_page(o, rows.RowsPlan(columns=("o_orderkey",), filters=rows.parse_filters([{"column": "o_totalprice", "op": "gt", "value": 1000}]), limit=500), "o_orderkey")
+    if none is not None:
+        raise ValueError("a page of filtered rows is not counted unless asked")
+    return spark.createDataFrame([(len(found), total, more, len(some), more_some)], "rows long, total long, more boolean, filtered long, more_filtered boolean")
+
+
+@query("SELECT o_orderkey, 'order ' || o_orderkey || ': ' || nullif(trim(v), '-') AS label, nullif(trim(v), '-') AS v FROM (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN ' - ' ELSE ' ' || o_orderstatus END AS v FROM orders) WHERE o_totalprice >= 1000.5 AND o_orderstatus <> 'P'")
+def legacy_forms(spark: SparkSession, d: str) -> DataFrame:
+    o = t(spark, d, "orders")
+    for text in ("o_totalprice >= 1000.5", "o_orderstatus != 'P'"):
+        o = o.where(legacy.condition(o, text))
+    v = legacy.nullify(F.when(F.col("o_orderkey") % 3 == 0, " - ").otherwise(F.concat(F.lit(" "), "o_orderstatus")))
+    return o.select("o_orderkey", legacy.template("order {}: {}", [F.col("o_orderkey"), v]).alias("label"), v.alias("v"))
+
+
+@query("SELECT c_custkey, upper(c_name) AS name, c_mktsegment FROM customer")
+def legacy_variants(spark: SparkSession, d: str) -> DataFrame:
+    c = t(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    return legacy.variants(c, {"en": {"romanize_columns": ["c_name"], "column_rename": {"c_name": "name"}}}, str.upper)["en"]
+
+
+@query("SELECT 's' AS \"column\", count(*) FILTER (event_id % 3 = 1)::BIGINT AS lost FROM events UNION ALL SELECT 'n', count(*) FILTER (event_id % 5 = 0)::BIGINT FROM events")
+def cast_losses_rows(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("event_id")
+    texts = t(spark, d, "events").select(F.when(i % 3 == 1, "1.5").when(i % 3 == 2, i.cast("string")).alias("s"), F.when(i % 5 == 0, "x").otherwise(F.col("value").cast("string")).alias("n"))
+    return spark.createDataFrame(list(casts.losses(texts, {"s": "int", "n": "float"}).items()), "column string, lost long")
+
+
+@query("""SELECT 'column_added' AS kind, 'w' AS "column" UNION ALL SELECT 'column_removed', 'props' UNION ALL SELECT 'dtype_changed', 'user_id'
+UNION ALL SELECT 'row_count_jump', NULL FROM events HAVING abs(count(*) FILTER (event_type = 'click') - count(*)) / count(*) > 0.5""")
+def drift_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the row count has jumped is told by both counts."""
+    before = t(spark, d, "events")
+    after = before.drop("props").withColumns({"w": F.lit(1), "user_id": F.col("user_id").cast("string")}).where("event_type = 'click'")
+    return spark.createDataFrame([(kind, column) for kind, column, _ in quality.drift(before.schema, before.count(), after.schema, after.count())], "kind string, column string")
+
+
+@query("""SELECT 'sha256:' || sha256('[' || string_agg(line, ',' ORDER BY line) || ']') AS checksum FROM (SELECT '{"c_custkey": ' || c_custkey || ', "c_mktsegment": "' || c_mktsegment || '"}' AS line FROM customer)""")
+def ordered_checksum(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(provenance.ordered_checksum(provenance.record_lines(t(spark, d, "customer").select("c_mktsegment", "c_custkey"))),)], "checksum string")
+
+
+@query("SELECT field, type FROM (VALUES ('event_id', 'integer'), ('value', 'number'), ('event_type', 'string'), ('props', 'object')) x(field, type) WHERE EXISTS (SELECT 1 FROM events) UNION ALL SELECT 'late', 'integer' FROM events HAVING count(*) FILTER (event_id % 7 = 3) > 0")
+def json_structure(spark: SparkSession, d: str) -> DataFrame:
+    """Types are those of a field's first value in all lines, here of one that six lines in seven lack."""
+    line = F.to_json(F.struct("event_id", "value", "event_type", F.from_json("props", "map<string,string>").alias("props"), F.when(F.col("event_id") % 7 == 3, 1).alias("late")))
+    return tagged.structure(t(spark, d, "events").select(F.col("event_id").alias("seq"), line.alias("value")))
+
+
+@query("SELECT o_orderkey, o_custkey, c_mktsegment FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING') ON o_custkey = c_custkey")
+def build_gold(spark: SparkSession, d: str) -> DataFrame:
+    """A whole build from two files of JSON lines: read, normalised, joined and laid out."""
+    at = _folder(spark, "build")
+    sinks.write_jsonl(t(spark, d, "orders").select("o_orderkey", "o_custkey").orderBy("o_orderkey"), f"{at}/orders.jsonl")
+    sinks.write_jsonl(t(spark, d, "customer").where("c_mktsegment <> 'BUILDING'").select("c_custkey", "c_mktsegment").orderBy("c_custkey"), f"{at}/customer.jsonl")
+    sources = (spec.Source("orders", path=f"{at}/orders.jsonl", format="jsonl"), spec.Source("customer", path=f"{at}/customer.jsonl", format="jsonl"))
+    done = build.run_build(spark, spec.BuildSpec("joined", sources, composition=joins.JoinSpec((("o_custkey", "c_custkey"),), "left")))
+    if done.status != "success":
+        raise ValueError(str(done.manifest))
+    return done.gold.select("o_orderkey", "o_custkey", "c_mktsegment")
+
+
 ORACLE_SQL |= {f"{name}_whole": ORACLE_SQL[name] for name in ("join_nan_keys", "union_by_name")}

@@ -140,3 +140,18 @@ def test_a_cluster_has_to_name_its_shared_folder():
 
     with pytest.raises(RuntimeError, match="checkpoint"):
         stable.shared_folder(Session)
+
+
+def test_a_snapshot_whose_files_stay_is_retiring_until_they_go(spark, tmp_path, monkeypatch):
+    from brindle.operators import warehouse
+
+    w = warehouse.Warehouse(spark, tmp_path / "w")
+    old, new = w.materialize(spark.range(3), "t"), w.materialize(spark.range(4), "t")
+    with monkeypatch.context() as m:
+        m.setattr(warehouse.shutil, "rmtree", lambda *a, **k: None)
+        assert w.collect(keep=1) == [] and [s.snapshot_id for s in w.history("t")] == [new.snapshot_id]
+    for refused in (lambda: w.read("t", old.snapshot_id), lambda: w.hold(old.snapshot_id, "audit")):
+        with pytest.raises(warehouse.WarehouseError):
+            refused()
+    assert w.collect(keep=1) == [old.snapshot_id] and not (tmp_path / "w" / "tables" / "t" / old.snapshot_id).exists()
+    assert w.collect(keep=1) == [] and w.read("t").count() == 4
