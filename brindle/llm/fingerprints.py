@@ -6,8 +6,10 @@ to one cell of each: a count, and the exclusive or of the digests. Two sketches
 cell, which leaves the digests that differ; a cell that holds exactly one (its checksum tells) is pure,
 and removing its digest elsewhere makes more cells pure. Once all cells are empty, the removed digests
 are the paragraphs that differ, and likeness is their complement: 1 - differing / (one's + other's).
-Where peeling stops short, both versions are sketched again, larger, up to a size at which it cannot but
-succeed for all practical purposes; only that pair's row pays for it.
+Where peeling stops short, both versions are sketched again, larger: at a size taken from an estimate of the
+difference, then by all digests. A pair at which each of these has failed (digests that share their bits, or
+so many that a table's share of the key no longer spreads them) is compared digest by digest; only that pair's
+row pays for it.
 
 The next document, in descending doc_id, is found without gathering rows: keys alone are sorted by ranges,
 and ranges are tied together by one row each.
@@ -25,8 +27,10 @@ from brindle.llm.common import checkpointed, small, table
 
 PIECE = 128
 KEY_BITS, CHECK_BITS = 47, 16
-#: Cells per table of the sketch that is the fingerprint, and of those tried on failure.
-BASE, RETRIES = 8, (32, 128)
+#: Cells per table of the sketch that is the fingerprint, and the fewest of the last retries.
+BASE, LEAST_SURE = 8, 256
+#: Cells per table of the first retry for each digest that is thought to differ; 0.41 is the least that can be peeled.
+MARGIN = 1.5
 ROUNDS = 24
 
 
@@ -104,23 +108,43 @@ def peel(cells: Column, p: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.when(F.size(s["cells"]) == 0, s["out"]))
 
 
+def difference(one: Column, other: Column, p: Column) -> Column:
+    """The subtracted sketches of two arrays of digests, without either by itself: cells add up whatever their order."""
+    signed = lambda keys, n: _dealt(keys, p, lambda d: (F.lit(n), d))
+    return _added(F.concat(signed(one, 1), signed(other, -1)))
+
+
+def estimate(cells: Column, apart: Column) -> Column:
+    """About how many digests differ, of a subtracted sketch of BASE cells per table, from the squares of its counts.
+
+    Where d digests differ, and the counts by apart, a table's squares add up to d + (apart ** 2 - d) / BASE on average.
+    """
+    squares = F.aggregate(cells, F.lit(0).cast("long"), lambda a, e: a + e["n"].cast("long") * e["n"]) / 3.0
+    return F.greatest(apart.cast("double"), (squares - apart.cast("double") * apart / BASE) * (BASE / (BASE - 1)))
+
+
 def likeness(one: Column, other: Column, one_sketch: Column, other_sketch: Column) -> Column:
-    """0 to 1, of two arrays of digests and their sketches of BASE cells per table."""
+    """0 to 1, of two arrays of digests and their sketches of BASE cells per table.
+
+    The counts of those sketches tell about how many digests differ, and so whether it is worth peeling them, and
+    the size of the next pair. Digests that no size has given are told by a plain comparison of both arrays.
+    """
     total = F.size(one) + F.size(other)
     apart = F.abs(F.size(one) - F.size(other))
+    base, sure = F.lit(BASE), F.greatest(F.lit(LEAST_SURE), total)
 
     def sound(found: Column) -> Column:
         # A sum of several digests that passes for one leads astray; what the counts rule out is a failure.
         return _let(found, lambda n: F.when((n >= apart) & (n <= total) & ((total - n) % 2 == 0), n))
 
     def tried(p: Column) -> Column:
-        return sound(peel(subtract(sketch(one, p), sketch(other, p)), p))
+        return sound(peel(difference(one, other, p), p))
 
-    base = F.lit(BASE)
-    sure = F.greatest(F.lit(RETRIES[-1] * 2), total)
-    # Fewer cells than the counts differ by cannot be emptied, and are not tried.
-    attempts = [F.when(apart <= 3 * BASE, sound(peel(subtract(one_sketch, other_sketch), base))), *(F.when(apart <= 3 * p, tried(F.lit(p))) for p in RETRIES), tried(sure), tried(2 * sure + 1)]
-    return F.when(total == 0, 1.0).otherwise(F.lit(1.0) - F.coalesce(*attempts, total).cast("double") / total)
+    def found(cells: Column) -> Column:
+        about = estimate(cells, apart)
+        return _let(about, lambda d: F.coalesce(F.when(d <= 3 * BASE, sound(peel(cells, base))), _let((F.ceil(d * MARGIN) + BASE).cast("int"), tried), tried(sure), tried(2 * sure + 1), F.size(F.array_except(one, other)) + F.size(F.array_except(other, one))))
+
+    return F.when(total == 0, 1.0).otherwise(F.lit(1.0) - _let(subtract(one_sketch, other_sketch), found).cast("double") / total)
 
 
 def rendered(keys: Column, cells: Column) -> Column:

@@ -56,3 +56,21 @@ def test_empty_tables_and_clashes(spark, tmp_path):
     assert (only.near_edited, only.near_next) == (1.0, 1.0)
     with pytest.raises(ValueError):
         fingerprints(df.withColumn("sketch", F.lit(1)))
+
+
+def test_any_difference_is_found_and_what_cannot_be_peeled_is_compared(spark, monkeypatch):
+    from brindle.llm import fingerprints as module
+
+    sizes = [(0, 0, 0), (1, 0, 1), (0, 40, 40), (300, 3, 3), (20, 500, 10), (1500, 700, 650)]
+    lines = [("\n".join(f"s{i}" for i in range(both)) + "".join(f"\na{i}" for i in range(a)), "\n".join(f"s{i}" for i in range(both)) + "".join(f"\nb{i}" for i in range(b)), both, a, b) for both, a, b in sizes]
+    df = spark.createDataFrame(lines, "a string, b string, n int, x int, y int").select(digests(F.col("a")).alias("a"), digests(F.col("b")).alias("b"), "n", "x", "y")
+
+    def near():
+        cells = [sketch(F.col(c), F.lit(8)) for c in "ab"]
+        return [(r.near, 2 * r.n / (2 * r.n + r.x + r.y) if r.n + r.x + r.y else 1.0) for r in df.select(likeness(F.col("a"), F.col("b"), *cells).alias("near"), "n", "x", "y").collect()]
+
+    for got, want in near():
+        assert got == pytest.approx(want)
+    monkeypatch.setattr(module, "peel", lambda cells, p: F.lit(None).cast("int"))
+    for got, want in near():
+        assert got == pytest.approx(want)
