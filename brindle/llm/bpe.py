@@ -23,6 +23,7 @@ Rows are coded one by one: copies and equal ids alike, and an empty table gives
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -34,13 +35,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import release_memory, small_batches, table
+from brindle.llm.common import kept_for_a_stage, release_memory, small_batches, table
 
 DEFAULT_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Words kept per Python worker, and the length beyond which a word is not kept.
 CACHE_WORDS, CACHE_LENGTH = 110_000, 48
 #: States that the determinised automaton holds at a time.
 STATES = 160_000
+#: Arc pairs of which it is kept whether they are open.
+PAIRS = 110_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -50,6 +53,15 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def _packed(state: list[int]) -> bytes:
+    """A state as it is kept: eight bytes a number, a quarter of what a tuple of numbers takes."""
+    return array("q", state).tobytes()
+
+
+def _unpacked(state: bytes) -> array:
+    return array("q", state)
+
+
 class TokenAutomaton:
     """The automaton of one tokenizer file (its JSON text)."""
 
@@ -66,7 +78,7 @@ class TokenAutomaton:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for content, i in self.added.items():
             self.label[i] = content.encode()
-        self.token_of = {self.label[i]: i for t, i in vocab.items() if t not in self.added}
+        self.plain = [i for t, i in vocab.items() if t not in self.added]
         self.parts: list[tuple[int, int] | None] = [None] * size
         self.born = [-1] * size
         self.merge: dict[int, int] = {}  # arc pair -> number of the merge that closes it
@@ -82,9 +94,9 @@ class TokenAutomaton:
         # The beginnings of tokens: node and byte to node, and the token that ends at a node.
         self.child: dict[int, int] = {}
         self.ends: list[int] = [-1]
-        for token, i in self.token_of.items():
+        for i in self.plain:
             node = 0
-            for c in token:
+            for c in self.label[i]:
                 after = self.child.get(node << 8 | c)
                 if after is None:
                     after = self.child[node << 8 | c] = len(self.ends)
@@ -93,14 +105,20 @@ class TokenAutomaton:
             if i not in self.dead:
                 self.ends[node] = i
         self.opens: dict[int, bool] = {}  # arc pair -> open once all merges are in
-        self._begin((-1,))
+        self.cell.clear()
+        self._begin(_packed([-1]))
+
+    @property
+    def token_of(self) -> dict[bytes, int]:
+        return {self.label[i]: i for i in self.plain}
 
-    def _begin(self, state: tuple[int, ...]) -> None:
+    def _begin(self, state: bytes) -> None:
         """Empties the table of transitions, with state as number 0 (where words begin) or, if another, 1."""
-        self.states = [(-1,)] if state == (-1,) else [(-1,), state]
+        first = _packed([-1])
+        self.states = [first] if state == first else [first, state]
         self.number = {s: i for i, s in enumerate(self.states)}
         self.step: dict[int, int] = {}
-        self.arc = [s[0] for s in self.states]
+        self.arc = [_unpacked(s)[0] for s in self.states]
 
     def _gadget(self, m: int, u: int, v: int, joined: int) -> None:
         if self.parts[joined] is not None:
@@ -151,7 +169,7 @@ class TokenAutomaton:
         A state: the last arc, and then, the longest first, each suffix that begins a token, as the arc that led to
         its start (from 1; 0 at the start of the word), times 2^24, and its node. A new suffix begins at the root.
         """
-        begun, child, ends, opens = self.states[at], self.child, self.ends, self.opens
+        begun, child, ends, opens = _unpacked(self.states[at]), self.child, self.ends, self.opens
         state, arc = [-1], -1
         for x in (*begun[1:], (begun[0] + 1) << 24):
             node = child.get((x & 0xFFFFFF) << 8 | c)
@@ -171,7 +189,7 @@ class TokenAutomaton:
         if arc < 0:
             raise ValueError("no path: the vocabulary lacks a byte")
         state[0] = arc
-        state = tuple(state)
+        state = _packed(state)
         to = self.number.get(state)
         if to is None:
             if len(self.states) >= STATES:
@@ -187,7 +205,7 @@ class TokenAutomaton:
         found = self.older.get(word)
         if found is None:
             found = tuple(self.walk(word.encode()))
-            if len(self.cell) >= 2 * CACHE_WORDS or len(self.opens) >= 2 * CACHE_WORDS:
+            if len(self.cell) >= PAIRS or len(self.opens) >= PAIRS:
                 self.cell.clear()
                 self.opens.clear()
         if len(word) <= CACHE_LENGTH:
@@ -219,6 +237,7 @@ class TokenAutomaton:
         return b"".join(map(self.label.__getitem__, ids)).decode("utf-8", "replace")
 
 
+@kept_for_a_stage
 @lru_cache(maxsize=2)
 def automaton(text: str) -> TokenAutomaton:
     return TokenAutomaton(text)
@@ -234,7 +253,7 @@ def _with(df: DataFrame, fields: list[T.StructField], work) -> DataFrame:
     schema = T.StructType([*df.schema.fields, *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_memory()
+        release_memory(automaton)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 yield work(batch.slice(at, 512))
@@ -277,7 +296,7 @@ def round_trip(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame
     schema = T.StructType([df.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_memory()
+        release_memory(automaton)
         m = automaton(model.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):

@@ -96,11 +96,25 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def release_memory() -> None:
-    """Gives back to the system what this process has freed, in a Python worker that earlier stages have used.
+#: Cached functions of this process that hold much: what one stage keeps, the next has no use for.
+_KEPT: list = []
+
+
+def kept_for_a_stage(cached):
+    """Marks a function with a cache, which release_memory() empties in the stages of other operators."""
+    _KEPT.append(cached)
+    return cached
+
+
+def release_memory(mine=None) -> None:
+    """Empties the caches marked by kept_for_a_stage(), but for mine, and gives back to the system what this process
+    has freed, in a Python worker that earlier stages have used.
 
     Workers are reused from stage to stage, and allocators keep what was freed; without glibc only Arrow's pool is emptied.
     """
+    for cached in _KEPT:
+        if cached is not mine:
+            cached.cache_clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:

@@ -83,3 +83,17 @@ def test_a_table_begun_anew_changes_nothing(library, monkeypatch):
     for text in fuzz(60):
         assert small.encode(text) == library.encode(text, add_special_tokens=False).ids
         assert len(small.states) <= 5
+
+
+def test_states_are_kept_small_and_other_stages_empty_the_tables(own):
+    from brindle.llm import bpe
+    from brindle.llm.common import release_memory
+
+    own.encode("a text of some words")
+    assert all(isinstance(s, bytes) for s in own.states) and own.encode("a text of some words")
+    with open(PATH, encoding="utf-8") as file:
+        bpe.automaton(file.read())
+    release_memory(bpe.automaton)
+    assert bpe.automaton.cache_info().currsize == 1
+    release_memory()
+    assert bpe.automaton.cache_info().currsize == 0
