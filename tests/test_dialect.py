@@ -42,6 +42,31 @@ def test_both_engines_agree(tolls, sql):
     assert found.columns == names and sorted(str(tuple(r)) for r in found.collect()) == rows
 
 
+TIES = [
+    "SELECT cars, arg_min(gate, round(fee / 100)) AS a, arg_max(gate, round(fee / 100)) AS b FROM dataset WHERE lane <> 'x' GROUP BY cars",
+    "SELECT cars, list(gate ORDER BY fee DESC)[1:1] AS l, list(gate ORDER BY gate)[2:3] AS m, count(*) AS n FROM dataset d WHERE gate > 0 GROUP BY ALL",
+    "SELECT d.cars AS c, len(list(lane ORDER BY gate DESC)[1:2]) AS l, (sum(gate) FILTER (gate > 1))::BIGINT AS n FROM dataset AS d GROUP BY d.cars HAVING count(*) > 0",
+]
+
+
+@pytest.mark.parametrize("sql", TIES)
+def test_ties_and_the_first_of_sorted_lists(tolls, sql):
+    found = validator.run(tolls, sql, dialect="duckdb")
+    names, rows = duck(sql)
+    assert found.columns == names and sorted(str(tuple(r)) for r in found.collect()) == rows
+
+
+def test_ties_of_arg_min_go_to_the_least_argument_however_rows_lie(spark):
+    for way in (1, -1):
+        rows = spark.createDataFrame([(g, float(g % 2)) for g in range(100)][::way], "gate long, fee double").repartition(5)
+        assert tuple(validator.run(rows, "SELECT arg_min(gate, fee) AS a, arg_max(gate, fee) AS b FROM dataset", dialect="duckdb").first()) == (0, 1)
+
+
+def test_a_list_cut_short_holds_no_whole_group(tolls):
+    plan = validator.run(tolls, "SELECT cars, list(gate ORDER BY fee DESC)[1:3] AS l FROM dataset GROUP BY cars", dialect="duckdb")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "<= 3" in plan
+
+
 @pytest.mark.parametrize("sql", [
     "", "SELECT 1", "SELECT (gate FROM dataset", "SELECT gate FROM dataset; DROP TABLE dataset", "SELECT * FROM '/etc/passwd'", "SELECT * FROM read_parquet('x')", "SELECT current_setting('a') FROM dataset", "SELECT DISTINCT ON (gate) * FROM dataset",
     "SELECT gate FROM dataset UNION ALL BY NAME SELECT gate FROM other", "SELECT unnest([gate]) FROM other", "SELECT random() FROM dataset", "COPY dataset TO 'x'", "SELECT gate FROM dataset QUALIFY random() > 1", "SELECT strftime(gate, lane) FROM dataset",
