@@ -14,6 +14,7 @@ import re
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from brindle.plans import dialect as duck
 
@@ -124,7 +125,56 @@ def run(df: DataFrame, sql: str, masked: tuple[str, ...] = (), dialect: str = "s
     if dialect == "duckdb":
         sql = translated(df.sparkSession, sql)
         validate(df.sparkSession, sql)
-    return df.sparkSession.sql(nulls_last(df.sparkSession, sql))
+    return df.sparkSession.sql(extremes(df.sparkSession, nulls_last(df.sparkSession, sql)))
+
+
+_COMPARED = {">": "max", ">=": "max", "<": "min", "<=": "min"}
+_TURNED = {">": "<", ">=": "<=", "<": ">", "<=": ">="}
+_PLAIN = re.compile(rf"EXISTS\s*\(\s*SELECT\s+1\s+FROM\s+{NAME}\s+(?:AS\s+)?(\w+)\s+WHERE\s+([^()'\"`;]+)\)", re.I)
+_COMPARISON = re.compile(r"\s*([\w.+\-*\s]+?)\s*(<=|>=|<|>|=)\s*([\w.+\-*\s]+?)\s*")
+
+
+def extremes(spark: SparkSession, sql: str) -> str:
+    """sql with EXISTS (SELECT 1 FROM dataset o WHERE o.k = c.k AND o.x > e), whose join compares all pairs of rows of
+    one k, asked of the greatest x of each k alone (of the least for <): some x is greater than e if the greatest is.
+
+    Done where the conditions are equalities of columns of o and of c and one comparison of a column of o, both sides
+    numbers; others stay as they are, and so do statements with quotes or comments.
+    """
+    if re.search(r"['\"`]|--|/\*", sql):
+        return sql
+
+    def number(column: str, alias: str) -> bool:
+        try:
+            kind = spark.sql(f"SELECT {column} AS x FROM {NAME} {alias}").schema["x"].dataType
+        except AnalysisException:
+            return False
+        return isinstance(kind, T.NumericType)
+
+    def restated(m: re.Match) -> str:
+        inner, found, keys, compared = m[1], m[0], [], []
+        own = re.compile(rf"{inner}\.(\w+)", re.I)
+        for condition in re.split(r"\s+AND\s+", m[2], flags=re.I):
+            c = _COMPARISON.fullmatch(condition)
+            if not c:
+                return found
+            left, mark, right = c.groups()
+            if own.fullmatch(right) and not own.search(left):
+                left, mark, right = right, _TURNED.get(mark, mark), left
+            outer = set(re.findall(r"\b([A-Za-z_]\w*)\.[A-Za-z_]\w*", right))
+            # Every name on the other side is of one other alias, so that none of the subquery's is among them.
+            if not own.fullmatch(left) or len(outer) != 1 or outer & {inner} or re.search(r"(?<![\w.])[A-Za-z_]\w*(?!\w*\.)\b(?!\.)", right):
+                return found
+            (keys if mark == "=" else compared).append((own.fullmatch(left)[1], mark, right, outer.pop()))
+        if len(compared) != 1 or not keys or not number(f"{inner}.{compared[0][0]}", inner) or not number(compared[0][2], compared[0][3]):
+            return found
+        x, mark, value, _ = compared[0]
+        columns = ", ".join(f"{inner}.{k} AS __k{i}" for i, (k, *_) in enumerate(keys))
+        groups = ", ".join(f"{inner}.{k}" for k, *_ in keys)
+        equal = " AND ".join(f"__ends.__k{i} = {right}" for i, (_, _, right, _) in enumerate(keys))
+        return f"EXISTS (SELECT 1 FROM (SELECT {columns}, {_COMPARED[mark]}({inner}.{x}) AS __x FROM {NAME} {inner} GROUP BY {groups}) __ends WHERE {equal} AND __ends.__x {mark} {value})"
+
+    return _PLAIN.sub(restated, sql)
 
 
 def translated(spark: SparkSession, sql: str) -> str:

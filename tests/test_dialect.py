@@ -81,3 +81,18 @@ def test_masked_columns_stay_masked(tolls):
     assert {r[0] for r in validator.run(tolls, "SELECT lane || '!' AS x FROM dataset WHERE lane <> ''", ("lane",), "duckdb").collect()} == {"[masked]!"}
     with pytest.raises(ValueError):
         validator.run(tolls, "SELECT 1", dialect="other")
+
+
+def test_exists_with_a_comparison_is_asked_of_the_extremes(spark):
+    rows = [(i, i % 3, None if i % 11 == 0 else float("nan") if i % 37 == 0 else float(i * 7 % 40)) for i in range(120)] + [(999, None, 1.0)]
+    df = spark.createDataFrame(rows, "i long, k long, x double")
+    for mark in (">", ">=", "<", "<="):
+        for negated in ("", "NOT "):
+            for e in (f"o.x {mark} c.x + 30", f"c.x * 2 {mark} o.x"):
+                sql = f"SELECT i FROM dataset c WHERE {negated}EXISTS (SELECT 1 FROM dataset o WHERE o.k = c.k AND {e})"
+                df.createOrReplaceTempView("dataset")
+                assert "GROUP BY" in validator.extremes(spark, sql)
+                assert sorted(validator.run(df, sql).collect()) == sorted(spark.sql(sql).collect())
+    for same in ("o.k = c.k AND o.i > k", "o.k = c.k AND o.x > c.x AND o.i < c.i", "o.x > c.x", "o.k = c.k", "o.k = c.k OR o.x > c.x"):
+        sql = f"SELECT i FROM dataset c WHERE EXISTS (SELECT 1 FROM dataset o WHERE {same})"
+        assert validator.extremes(spark, sql) == sql
