@@ -113,15 +113,41 @@ class Index:
 
     def __init__(self, codes: np.ndarray) -> None:
         self.codes = np.ascontiguousarray(codes)
+        # The same codes in words of 64 bits, word by word.
+        bits = np.ascontiguousarray(self.codes).view(np.uint8)
+        whole = np.zeros((len(bits), -(-bits.shape[1] // 8) * 8), np.uint8)
+        whole[:, : bits.shape[1]] = bits
+        self.words = np.ascontiguousarray(whole.view(np.uint64).T)
         self.parts = []
         for j in range(codes.shape[1]):
             values, of_row = np.unique(codes[:, j], return_inverse=True)
             order = np.argsort(of_row, kind="stable")
             self.parts.append((values, order, np.searchsorted(of_row[order], np.arange(len(values) + 1)), of_row))
 
+    def prunes(self, radius: int) -> bool:
+        """Whether the values to be probed are fewer than the rows in all; where they are not, whole codes are checked at once."""
+        m, bits = self.codes.shape[1], 8 * self.codes.itemsize
+        cost = 0
+        for j, (values, *_) in enumerate(self.parts):
+            part = min((radius + 1) // m + (j < (radius + 1) % m) - 1, bits)
+            if part >= 0:
+                ball = len(_ball(bits, part))
+                cost += ball if ball < len(values) else len(self.codes)
+        return cost < len(self.codes)
+
+    def _checked(self, code: np.ndarray, radius: int) -> np.ndarray:
+        asked = np.zeros(8 * len(self.words), np.uint8)
+        asked[: code.nbytes] = np.ascontiguousarray(code).view(np.uint8)
+        apart = np.zeros(len(self.codes), np.uint16)
+        for words, word in zip(self.words, asked.view(np.uint64), strict=True):
+            apart += np.bitwise_count(words ^ word)
+        return np.flatnonzero(apart <= radius)
+
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Numbers, ascending, of all codes within radius of code."""
         m, bits = self.codes.shape[1], 8 * self.codes.itemsize
+        if not self.prunes(radius):
+            return self._checked(code, radius)
         met = np.zeros(len(self.codes), bool)
         for j, (values, order, start, of_row) in enumerate(self.parts):
             # Parts r_j with sum(r_j + 1) = radius + 1: a code beyond all of them is beyond the radius.

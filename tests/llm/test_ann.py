@@ -86,3 +86,14 @@ def test_repeated_query_rows_each_get_all_ranks_and_find_each_other(spark, tmp_p
     assert len(got) == len(want) == 6 * 20
     for g, w in zip(sorted(map(tuple, got)), sorted(want), strict=True):
         assert g[:3] == w[:3] and abs(g[3] - w[3]) < 1e-12
+
+
+def test_codes_checked_whole_are_those_that_probing_finds():
+    r = np.random.default_rng(7)
+    for parts in (1, 3, 16):
+        codes = r.integers(0, 1 << 16, size=(700, parts)).astype(np.uint16)
+        index = Index(codes)
+        for radius in (0, 2, 5 * parts, 8 * parts, 16 * parts):
+            want = np.flatnonzero(np.bitwise_count(codes ^ codes[3]).sum(1) <= radius)
+            assert index._checked(codes[3], radius).tolist() == index.within(codes[3], radius).tolist() == want.tolist()
+    assert index.prunes(2) and not index.prunes(100)
