@@ -47,18 +47,39 @@ def _element(line: str) -> int:
     return int.from_bytes(hashlib.shake_256(_DOMAIN + line.encode()).digest(BITS // 8), "big") % MODULUS or 1
 
 
+def _counted(df: DataFrame) -> DataFrame:
+    """The rows of df, equal ones once, and behind them how many there are; rows with nested columns as they are, each as one.
+
+    Grouping takes -0.0 for 0.0, which checksums tell apart, so that the sign of a zero is a key of its own.
+    """
+    if not df.columns or any(isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType, T.VariantType)) for f in df.schema.fields):
+        return df.withColumn("_n", F.lit(1).cast("long")) if "_n" not in df.columns else df.select("*", F.lit(1).cast("long").alias("_n_"))
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    signs = {f"s{i}": F.coalesce(F.col(f"c{i}").cast("string") == "-0.0", F.lit(False)) for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+    found = plain.withColumns(signs).groupBy(*plain.columns, *signs).agg(F.count("*").alias("n"))
+    zero = lambda i, f: F.when(F.col(f"s{i}"), F.lit(-0.0).cast(f.dataType)).otherwise(F.col(f"c{i}")) if f"s{i}" in signs else F.col(f"c{i}")
+    return found.select(*(zero(i, f).alias(f.name) for i, f in enumerate(df.schema.fields)), F.col("n").alias("_n" if "_n" not in df.columns else "_n_"))
+
+
 def multiset_checksum(df: DataFrame) -> str:
-    """A checksum of rows as a multiset: the product of their hashes, whatever the order or partitions.
+    """A checksum of rows as a multiset: the product of their hashes, whatever the order or partitions. Equal rows are
+    counted first, and hashed once.
 
     Partitions multiply their own rows, and products of products make a tree, so that no task and not the
     driver sees more than one number per partition of the step before.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        product, n = 1, 0
+        products, n = {}, 0
         for batch in batches:
-            for record in batch.to_pylist():
-                product, n = product * _element(_line(record)) % MODULUS, n + 1
+            last = batch.num_columns - 1
+            records = batch.select(list(range(last))).to_pylist()
+            for record, copies in zip(records, batch.column(last).to_pylist(), strict=True):
+                products[copies] = products.get(copies, 1) * _element(_line(record)) % MODULUS
+                n += copies
+        product = 1
+        for copies, p in products.items():
+            product = product * pow(p, copies, MODULUS) % MODULUS
         yield _one(product, n)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,7 +89,7 @@ def multiset_checksum(df: DataFrame) -> str:
                 product, n = product * int.from_bytes(p, "big") % MODULUS, n + k
         yield _one(product, n)
 
-    found = df.mapInArrow(rows, "product binary, n long").repartition(8).mapInArrow(parts, "product binary, n long").collect()
+    found = _counted(df).mapInArrow(rows, "product binary, n long").repartition(8).mapInArrow(parts, "product binary, n long").collect()
     product, n = 1, 0
     for r in found:
         product, n = product * int.from_bytes(r.product, "big") % MODULUS, n + r.n

@@ -192,3 +192,17 @@ def test_masked_columns_are_masked_before_any_expression(people):
     assert validator.run(people, "SELECT people FROM dataset ORDER BY people NULLS FIRST").collect()[0][0] is None
     assert validator.run(people, "SELECT '🙂;' AS s, people FROM dataset ORDER BY people DESC LIMIT 1").first().people == 50
     assert validator.nulls_last(people.sparkSession, "SELECT '🙂', row_number() OVER (ORDER BY seq DESC) AS r FROM dataset ORDER BY r, seq") == "SELECT '🙂', row_number() OVER (ORDER BY seq DESC NULLS LAST) AS r FROM dataset ORDER BY r NULLS LAST, seq NULLS LAST"
+
+
+def test_equal_rows_are_hashed_once_and_checksums_stay(spark):
+    import hashlib
+
+    from brindle.operators import provenance as p
+
+    rows = [("a", 1.5)] * 7 + [("a", 0.0)] * 2 + [("a", -0.0)] * 3 + [(None, float("nan"))] * 2 + [("b", None)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(3)
+    product = 1
+    for k, x in rows:
+        product = product * p._element(p._line({"k": k, "x": x})) % p.MODULUS
+    want = hashlib.sha256(p._DOMAIN + len(rows).to_bytes(8, "big") + product.to_bytes(p.BITS // 8, "big")).hexdigest()
+    assert p.multiset_checksum(df) == f"sha256:{want}" and p._counted(df).count() == 5
