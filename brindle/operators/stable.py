@@ -27,3 +27,13 @@ def kept(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def fixed(df: DataFrame) -> DataFrame:
+    """df in the partitions that its plan has now, computed anew with each use.
+
+    A scan is cut into pieces by the cores at hand, which may be others at the next action; what is known of a piece holds for as
+    long as the pieces stay.
+    """
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False), spark)

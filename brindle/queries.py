@@ -511,7 +511,7 @@ def csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 def csv_quoted_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Whole texts, with quotes and line breaks, written and read again."""
     docs = t(spark, d, "documents").select("doc_id", F.replace("text", F.lit("\r"), F.lit(" ")).alias("text"), "lang")
-    return readers.read_csv(spark, str(sinks.write_csv(docs.orderBy("doc_id"), f"{_folder(spark, 'csv')}/documents.csv", guard=False)), {"text": "str"})
+    return readers.read_csv(spark, str(sinks.write_csv_parts(docs.orderBy("doc_id"), f"{_folder(spark, 'csv')}/documents", guard=False)), {"text": "str"})
 
 
 @query("SELECT o_orderkey, o_totalprice, o_orderpriority, row_number() OVER (ORDER BY o_orderkey % 3, o_orderkey) - 1 AS _row_seq FROM orders")

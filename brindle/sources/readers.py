@@ -15,11 +15,8 @@ from pyspark.sql import types as T
 
 from brindle.operators.select import SEQ, numbered
 from brindle.operators.stable import kept
-from brindle.sources import infer
-
-
-class SourceError(ValueError):
-    """A source that is not what it says it is; the message names the line where it can."""
+from brindle.sources import infer, pieces
+from brindle.sources.pieces import SourceError
 
 
 # -- CSV
@@ -82,61 +79,46 @@ def file_lines(spark: SparkSession, path: str, name: str = SEQ) -> DataFrame:
     return numbered(raw, [F.col("_file"), F.col("_block"), F.col("_line")], name).select(name, "value")
 
 
-def _lines_of_records(raw: DataFrame) -> DataFrame:
-    """(file, at, line, f): the fields of each line of raw, which holds one record per line."""
-
-    def parse(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            got = [csv_records(line) for line in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([g[0] if g else None for g in got], pa.list_(pa.string()))], ["file", "block", "line", "f"])
-
-    placed = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
-    return placed.mapInArrow(parse, "file string, block long, line long, f array<string>").where("f is not null")
-
-
-def _whole_records(spark: SparkSession, path: str) -> DataFrame:
-    """The same of files in which a record may begin anywhere: each is read whole, by one task."""
-
-    def parse(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for file, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = csv_records(value)
-                for i in range(0, len(got), 10_000):
-                    some = got[i : i + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(some)), pa.array([0] * len(some), pa.int64()), pa.array(range(i, i + len(some)), pa.int64()), pa.array(some, pa.list_(pa.string()))], ["file", "block", "line", "f"])
-
-    texts = spark.read.text(path, wholetext=True)
-    return texts.select(F.col("_metadata.file_path").alias("file"), "value").mapInArrow(parse, "file string, block long, line long, f array<string>")
-
-
 def read_csv(spark: SparkSession, path: str, read_as: dict[str, str] | None = None) -> DataFrame:
     """A CSV file, or a folder of them in the order of their paths, each with the same header; each column is typed
     by all of its values, and _row_seq numbers the rows.
 
-    Files that hold one record per line are read line by line on the executors; where any has quoted line breaks, a
-    record may begin anywhere, and each file is read whole by one task. Files with other headers are refused.
+    A record may begin anywhere, as quotes hold line breaks; pieces of files are read by as many tasks all the same.
+    Files with other headers are refused.
     """
-    raw = spark.read.text(path)
-    if not raw.limit(1).count():
+    fmt = pieces.Csv()
+    found = pieces.find(spark, path, fmt, header=True)
+    whole, across, folded = pieces.whole(found, fmt), found.crossing, "seq long, f array<string>"
+    if found.cut is None:
         raise SourceError("the file is empty")
-    uneven = raw.where((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1).limit(1).count()
-    records = kept(_whole_records(spark, path) if uneven else _lines_of_records(raw))
-    heads = records.groupBy("file").agg(F.min(F.struct("block", "line", "f")).alias("m"))
-    said = heads.select("m.f").distinct().limit(2).collect()
+
+    def batch(rows):
+        import pyarrow as pa
+
+        return pa.RecordBatch.from_arrays([pa.array([seq for seq, _ in rows], pa.int64()), pa.array([f for _, f in rows], pa.list_(pa.string()))], ["seq", "f"])
+
+    def parse(batches):
+        for some in whole(batches):
+            yield batch([(seq, pieces.csv_fields(text)) for seq, first, text in some if not first])
+
+    def join(batches):
+        for b in batches:
+            yield batch([(rec, pieces.csv_fields(text)) for rec, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)])
+
+    joined = kept(found.cut.mapInArrow(join, folded)).withColumnRenamed("seq", "rec")
+    # A file's first record is its header; the mark that a file may begin with is cleared by Spark.
+    numbers = spark.createDataFrame([(i, None if c.header else c.seq, c.file) for i, c in enumerate(across)], "rec long, seq long, file string")
+    joined = joined.join(F.broadcast(numbers), "rec")
+    said = joined.where("seq is null").select("f").distinct().limit(2).collect()
     if len(said) != 1:
-        raise SourceError("the files have different headers" if said else "the file is empty")
-    # A header is cleared of the mark that a file may begin with before it is a record.
+        raise SourceError("the files have different headers")
     names = csv_names([c or "" for c in said[0].f])
-    body = records.join(heads.select("file", F.col("m.block").alias("hb"), F.col("m.line").alias("hl")), "file").where("not (block = hb and line = hl)")
-    wide = body.where(F.size("f") > len(names)).orderBy("file", "block", "line").limit(1).select("file").collect()
+    wide = [file for width, file in found.widest if width > len(names)]
+    wide += [r.file for r in joined.where((F.size("f") > len(names)) & F.col("seq").isNotNull()).select("file").distinct().collect()]
     if wide:
-        raise SourceError(f"{wide[0].file}: a record has a field too many")
-    df = numbered(body.select("file", "block", "line", "f"), [F.col("file"), F.col("block"), F.col("line")])
-    return typed(df.select(SEQ, *(F.get("f", F.lit(i)).alias(n) for i, n in enumerate(names))), names, read_as)
+        raise SourceError(f"{min(wide)}: a record has a field too many")
+    body = found.units.mapInArrow(parse, folded).unionByName(joined.where("seq is not null").select("seq", "f"))
+    return typed(body.select(F.col("seq").alias(SEQ), *(F.get("f", F.lit(i)).alias(n) for i, n in enumerate(names))), names, read_as)
 
 
 def typed(df: DataFrame, names: list[str], read_as: dict[str, str] | None = None) -> DataFrame:

@@ -102,10 +102,18 @@ def _cells(df: DataFrame, guard: bool = True) -> list[Column]:
     return [cell(f).alias(f.name) for f in df.schema.fields]
 
 
+_CSV = {"header": True, "escape": '"', "emptyValue": '""', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_csv(df: DataFrame, to: str | Path, guard: bool = True) -> Path:
     """Texts that a spreadsheet would run get ' in front; nested values are JSON; nulls are empty and empty texts quoted."""
-    body = df.select(*_cells(df, guard))
-    return _one_file(body, to, "csv", {"header": True, "escape": '"', "emptyValue": '""', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False})
+    return _one_file(df.select(*_cells(df, guard)), to, "csv", _CSV)
+
+
+def write_csv_parts(df: DataFrame, folder: str | Path, guard: bool = True) -> Path:
+    """The same as a folder of files with a header each, one by each task, whose paths are in the order of the rows."""
+    df.select(*_cells(df, guard)).write.format("csv").options(**_CSV).save(Files(df, folder).path)
+    return folder
 
 
 def refuse_non_finite(df: DataFrame) -> None:
