@@ -525,7 +525,7 @@ def csv_folder(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, event_type, value, row_number() OVER (ORDER BY event_id) - 1 AS _row_seq FROM events")
 def json_array_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """One array of all events as objects, read on an executor."""
+    """One array of all events as objects, in one file, read by many tasks."""
     at, one = _folder(spark, "json"), F.to_json(F.struct("event_id", "event_type", "value"))
     lines = t(spark, d, "events").select("event_id", one.alias("value")).orderBy("event_id").coalesce(1)
     n = lines.count()

@@ -128,7 +128,7 @@ class Csv:
 #: Characters of one element of a JSON array at most.
 MAX_ELEMENT = 32 << 20
 
-_WHITE, _ESCAPE, _DECODER = re.compile(r"[ \t\n\r]*"), re.compile(r"\\.", re.DOTALL), json.JSONDecoder()
+_WHITE, _ESCAPE, _DECODER = re.compile(r"[ \t\n\r]*"), re.compile(r"\\[^}]|\\(?=})|\\\Z"), json.JSONDecoder()
 
 
 #: What stands behind the elements of an array: of one without any, and of others.
@@ -164,10 +164,12 @@ class Json:
             self.turns, self.opened = [0, 1], [0, 0]
 
         def feed(self, units: list[str]) -> None:
-            for unit in units:
-                for i in (0, 1):
-                    self.turns[i], opened = Json.outside(unit, self.turns[i])
-                    self.opened[i] += opened
+            text = "}".join(units) + "}"
+            parts = (_ESCAPE.sub("", text) if "\\" in text else text).split('"')
+            opened = [plain.count("{") + plain.count("[") - plain.count("}") - plain.count("]") for plain in ("".join(parts[0::2]), "".join(parts[1::2]))]
+            for i in (0, 1):
+                self.opened[i] += opened[self.turns[i]]
+                self.turns[i] ^= len(parts) - 1 & 1
 
         def told(self) -> list:
             return [self.turns, self.opened]

@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import json
-import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
 
@@ -144,56 +141,40 @@ def read_jsonl(spark: SparkSession, path: str, read_as: dict[str, str] | None =
     return infer.load(lines, read_as=read_as)
 
 
-#: Characters of one element of a JSON array at most.
-MAX_ELEMENT = 32 << 20
-
-
-def _elements(text: str) -> Iterator[str]:
-    """The texts of the objects of a top-level array."""
-    decoder, white = json.JSONDecoder(), re.compile(r"[ \t\n\r]*")
-    skip = lambda at: white.match(text, at).end()
-    at = skip(1 if text.startswith("\ufeff") else 0)
-    if text[at : at + 1] != "[":
-        raise ValueError("a JSON source is an array of objects")
-    at = skip(at + 1)
-    more = text[at : at + 1] != "]"
-    while more:
-        if text[at : at + 1] != "{":
-            raise ValueError(f"character {at}: an object is wanted")
-        end = decoder.raw_decode(text, at)[1]
-        if end - at > MAX_ELEMENT:
-            raise ValueError(f"character {at}: an element of more than {MAX_ELEMENT} characters")
-        yield text[at:end]
-        at = skip(end)
-        more = text[at : at + 1] == ","
-        at = skip(at + 1) if more else at
-    if text[at : at + 1] != "]" or skip(at + 1) != len(text):
-        raise ValueError(f"character {at}: not JSON")
-
-
 def read_json(spark: SparkSession, path: str, read_as: dict[str, str] | None = None) -> DataFrame:
-    """Top-level arrays of objects, a file or a folder of them in the order of their paths; a task reads a file whole."""
+    """Top-level arrays of objects, a file or a folder of them in the order of their paths; a file is read by many tasks."""
+    fmt = pieces.Json()
+    found = pieces.find(spark, path, fmt, header=False)
+    whole, across = pieces.whole(found, fmt), found.crossing
 
     def parse(batches):
         import pyarrow as pa
 
+        for some in whole(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([seq for seq, _, _ in some], pa.int64()), pa.array([text[pieces.element_at(text, first) :] for _, first, text in some], pa.string())], ["seq", "value"])
+
+    def join(batches):
+        import pyarrow as pa
+
         for batch in batches:
-            for file, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found, bad = [], None
+            for rec, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                c, value, bad = across[rec], None, None
                 try:
-                    found = list(_elements(value))
+                    if c.closed:
+                        text += "}"
+                        fmt.width(text, c.number == 0)
+                        value = text[pieces.element_at(text, c.number == 0) :]
+                    elif not pieces.ENDS[c.number > 0].fullmatch(text):
+                        raise ValueError("not the end of an array of objects")
                 except ValueError as error:
-                    found, bad = [], str(error)
-                n = max(1, len(found)) if bad else len(found)
-                yield pa.RecordBatch.from_arrays([pa.array([file] * n, pa.string()), pa.array(range(n), pa.int64()), pa.array(found if not bad else [None], pa.string()), pa.array([bad] * n, pa.string())], ["file", "at", "value", "bad"])
+                    bad = f"{c.file}: element {c.number + 1}: {error}"
+                yield pa.RecordBatch.from_arrays([pa.array([rec], pa.int64()), pa.array([c.seq], pa.int64()), pa.array([value], pa.string()), pa.array([bad], pa.string())], ["rec", "seq", "value", "bad"])
 
-    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    if not texts.limit(1).count():
-        raise SourceError("the file is empty")
-    found = kept(texts.mapInArrow(parse, "file string, at long, value string, bad string"))
-    if wrong := found.where("bad is not null").orderBy("file").limit(1).collect():
-        raise SourceError(f"{wrong[0].file}: {wrong[0].bad}")
-    return infer.load(numbered(found.select("file", "at", "value"), [F.col("file"), F.col("at")], "seq").select("seq", "value"), read_as=read_as)
+    joined = kept(found.cut.mapInArrow(join, "rec long, seq long, value string, bad string"))
+    if wrong := joined.where("bad is not null").orderBy("rec").limit(1).collect():
+        raise SourceError(wrong[0].bad)
+    lines = found.units.mapInArrow(parse, "seq long, value string").unionByName(joined.where("value is not null").select("seq", "value"))
+    return infer.load(lines, read_as=read_as)
 
 
 # -- Parquet

@@ -1,5 +1,6 @@
 """Files in which a record may begin anywhere, read by many tasks."""
 
+import json
 import random
 from contextlib import contextmanager
 
@@ -61,3 +62,26 @@ def test_bad_csv_is_refused_in_any_piece(spark, tmp_path, text, what):
     for size in (1000, 5):
         with cut(spark, size), pytest.raises(readers.SourceError, match=what):
             readers.read_csv(spark, str(tmp_path / "a.csv"))
+
+
+def test_json_elements_cross_pieces(spark, tmp_path):
+    r = random.Random(6)
+    texts = ["", "}", '"', "\\", '}{"]\\"', "[[", "é\n", '"},{"', "x" * 90]
+    want = []
+    for i in range(5):
+        rows = [{"i": r.randrange(9), "t": r.choice(texts), "n": {"l": [{"y": r.choice(texts)} for _ in range(r.randrange(3))]}} for _ in range(r.randrange(1, 12) if i != 2 else 0)]
+        (tmp_path / f"{i}.json").write_text(("﻿" if i == 1 else " \n") + json.dumps(rows, indent=i or None, ensure_ascii=False) + " \n" * i)
+        want += rows
+    with cut(spark, 50):
+        rows = readers.read_json(spark, str(tmp_path)).orderBy("_row_seq").collect()
+        assert pieces.find(spark, str(tmp_path), pieces.Json(), False).units.rdd.getNumPartitions() > 20
+    assert [row._row_seq for row in rows] == list(range(len(want)))
+    assert [{"i": row.i, "t": row.t, "n": {"l": [{"y": x.y} for x in row.n.l]}} for row in rows] == want
+
+
+@pytest.mark.parametrize("text", ['[{"a": 1}, {"a": 2}', '[{"a": 1}, {"a": 2', '[{"a": 1}] {"b": 2}', '[{"a": 1}][{"b": 2}]', '[{"a": 1}, {"a": 2} {"a": 3}]', '[{"a": 1}, {"a": x}]', '[{"a": "x\ny"}]', "[    ", '{"a": 1}', '[{"a": 1}, 2]', '[{"a": 1},]', '[,{"a": 1}]', '[{"a": 1}]]', '[{"a": [1}]}]'])
+def test_bad_json_is_refused_in_any_piece(spark, tmp_path, text):
+    (tmp_path / "a.json").write_text(text)
+    for size in (1000, 5):
+        with cut(spark, size), pytest.raises(readers.SourceError, match="a.json"):
+            readers.read_json(spark, str(tmp_path / "a.json"))
